@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Characters that are worked on at once; one longer text is a block of its own.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 1_000_000
 
 
 def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -12,7 +12,7 @@ from velum.llm import textkernel as tk
 #: No rank.
 NONE = np.iinfo(np.int32).max
 #: Distinct pieces that a worker remembers before it begins anew.
-MAX_PIECES = 1_000_000
+MAX_PIECES = 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
