@@ -55,18 +55,22 @@ TOKENS = {
 }
 _TOKEN_OF = {w: k for k, ws in TOKENS.items() for w in ws.split()}
 _KINDS = list(TOKENS)
+_INSIDE = {"nav": 1, "footer": 2, "header": 2, "aside": 4, "form": 8, "article": 16, "main": 16, "button": 32}
+_TAG_NO = {t: k for k, t in enumerate(TAGS)}
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "flags", "text", "link_chars", "depth", "above")
+    __slots__ = ("tag", "parent", "children", "flags", "text", "link_chars", "depth", "above", "inside", "at")
 
     def __init__(self, tag, parent, flags=0):
         self.tag, self.parent, self.children, self.flags = tag, parent, [], flags
         self.text, self.link_chars = None, 0
         self.depth = parent.depth + 1 if parent else 0
         self.above = parent.above | parent.flags if parent else 0
+        self.inside = (parent.inside if parent else 0) | _INSIDE.get(tag, 0)
+        self.at = 0  # place in the list of nodes
 
 
 class Builder(HTMLParser):
@@ -106,9 +110,9 @@ class Builder(HTMLParser):
             return
         self.flush()
         if tag in CLOSES_P:
-            self.close({"p"}, SCOPE | {"td", "th", "li", "div", "article", "section"})
+            self.close_open({"p"}, SCOPE | {"td", "th", "li", "div", "article", "section"})
         if tag in OWN_KIND:
-            self.close(OWN_KIND[tag], SCOPE)
+            self.close_open(OWN_KIND[tag], SCOPE)
         if tag == "hr":
             return
         flags = 0
@@ -122,7 +126,7 @@ class Builder(HTMLParser):
         self.at.children.append(node)
         self.at = node
 
-    def close(self, tags, stop):
+    def close_open(self, tags, stop):
         n = self.at
         while n.parent and n.tag not in stop:
             if n.tag in tags:
@@ -159,75 +163,76 @@ def parse(html: str) -> list[Node]:
     cut = re.search(r"<[a-zA-Z/!?][^<>]*\Z", html)  # a page that ends inside a tag
     b = Builder()
     b.feed(html[: cut.start()] if cut else html)
-    b.close_all = True
-    HTMLParser.close(b)
+    b.close()
     b.flush()
     out, stack = [], [b.root]
     while stack:
         n = stack.pop()
+        n.at = len(out)
         out.append(n)
         stack.extend(reversed(n.children))
     return out
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """A row for each node."""
-    n = len(nodes)
-    place = {id(x): i for i, x in enumerate(nodes)}
-    chars, links, tags, paras, stops, blocks = (np.zeros(n) for _ in range(6))
-    own = np.zeros((n, 3))
-    for i, x in enumerate(nodes):
-        if x.text is not None:
-            chars[i], links[i], blocks[i] = len(x.text), x.link_chars, 1
-            stops[i] = x.text.count(".") + x.text.count(",") + x.text.count("!") + x.text.count("?")
-            own[i] = x.text[-1] in ".!?:;\"'»”", "©" in x.text or "|" in x.text, x.text.count(" ") + 1
-        else:
-            tags[i], paras[i] = 1, x.tag in ("p", "h1", "h2")
-    for i in range(n - 1, 0, -1):
-        p = place[id(nodes[i].parent)]
-        for a in (chars, links, tags, paras, stops, blocks):
-            a[p] += a[i]
-    before = np.cumsum([len(x.text) if x.text is not None else 0 for x in nodes])
-    total = max(1.0, chars[0])
-    rows = np.zeros((n, 2 * len(TAGS) + 2 * len(_KINDS) + 26), np.float32)
-    tag_no = {t: k for k, t in enumerate(TAGS)}
-    order: dict[int, tuple[int, int, int, float, float]] = {}
-    for x in nodes:
-        kids = x.children
-        if kids:
-            idx = [place[id(c)] for c in kids]
-            mean_chars, mean_links = float(chars[idx].mean()), float(links[idx].sum() / max(1.0, chars[idx].sum()))
-            same: dict[str, int] = {}
-            for c in kids:
-                same[c.tag] = same.get(c.tag, 0) + 1
-            for k, c in enumerate(kids):
-                order[id(c)] = (k, len(kids), same[c.tag], mean_chars, mean_links)
-    for i, x in enumerate(nodes):
-        e = x.parent if x.text is not None and x.parent else x  # a text block has its element's tag and attributes
-        r = rows[i]
-        k = tag_no.get(e.tag)
-        if k is not None:
-            r[k] = 1
-        up = e.parent
-        k = tag_no.get(up.tag) if up else None
-        if k is not None:
-            r[len(TAGS) + k] = 1
-        at = 2 * len(TAGS)
-        for k in range(len(_KINDS)):
-            r[at + k] = e.flags >> k & 1
-            r[at + len(_KINDS) + k] = e.above >> k & 1
-        at += 2 * len(_KINDS)
-        pos, many, same, mean_chars, mean_links = order.get(id(x), (0, 1, 1, 0.0, 0.0))
-        anc = set()
-        y = e
-        while y:
-            anc.add(y.tag)
-            y = y.parent
-        r[at:] = (
-            x.text is not None, x.depth, np.log1p(chars[i]), links[i] / max(1.0, chars[i]), chars[i] / (tags[i] + 1), np.log1p(tags[i]), np.log1p(paras[i]),
-            stops[i] / max(1.0, chars[i]) * 100, np.log1p(blocks[i]), chars[i] / total, (before[i] - (chars[i] if x.text is not None else 0)) / total, pos, many, pos / many, same,
-            np.log1p(mean_chars), mean_links, own[i, 0], own[i, 1], own[i, 2], "nav" in anc, "footer" in anc or "header" in anc, "aside" in anc, "form" in anc, "article" in anc or "main" in anc, "button" in anc,
-        )
+def features(parsed: list[list[Node]]) -> np.ndarray:
+    """A row for each node of each page."""
+    tag, up_tag, flags, above, inside, rest = [], [], [], [], [], []
+    for nodes in parsed:
+        n = len(nodes)
+        chars, links, tags, paras, stops, blocks, before = ([0] * n for _ in range(7))
+        so_far = 0
+        for i, x in enumerate(nodes):
+            before[i] = so_far
+            t = x.text
+            if t is not None:
+                chars[i], links[i], blocks[i] = len(t), x.link_chars, 1
+                stops[i] = t.count(".") + t.count(",") + t.count("!") + t.count("?")
+                so_far += len(t)
+            else:
+                tags[i], paras[i] = 1, x.tag in ("p", "h1", "h2")
+        for i in range(n - 1, 0, -1):
+            p = nodes[i].parent.at
+            chars[p] += chars[i]
+            links[p] += links[i]
+            tags[p] += tags[i]
+            paras[p] += paras[i]
+            stops[p] += stops[i]
+            blocks[p] += blocks[i]
+        total = max(1, chars[0])
+        order = [(0, 1, 1, 0.0, 0.0)] * n
+        for x in nodes:
+            kids = x.children
+            if kids:
+                many, kid_chars, kid_links, same = len(kids), 0, 0, {}
+                for c in kids:
+                    kid_chars += chars[c.at]
+                    kid_links += links[c.at]
+                    same[c.tag] = same.get(c.tag, 0) + 1
+                for k, c in enumerate(kids):
+                    order[c.at] = (k, many, same[c.tag], kid_chars / many, kid_links / max(1, kid_chars))
+        for i, x in enumerate(nodes):
+            t = x.text
+            e = x.parent if t is not None and x.parent else x  # a text block has its element's tag and attributes
+            up = e.parent
+            tag.append(_TAG_NO.get(e.tag, -1))
+            up_tag.append(_TAG_NO.get(up.tag, -1) if up else -1)
+            flags.append(e.flags)
+            above.append(e.above)
+            inside.append(e.inside)
+            pos, many, same, mean_chars, mean_links = order[i]
+            c = chars[i]
+            last = (t[-1] in ".!?:;\"'»”", "©" in t or "|" in t, t.count(" ") + 1) if t is not None else (0, 0, 0)
+            rest.append((t is not None, x.depth, c, links[i] / max(1, c), c / (tags[i] + 1), tags[i], paras[i], stops[i] / max(1, c) * 100, blocks[i], c / total, before[i] / total, pos, many, pos / many, same, mean_chars, mean_links, *last))
+    n, k, m = len(rest), len(TAGS), len(_KINDS)
+    rows = np.zeros((n, 2 * k + 2 * m + 6 + 20), np.float32)
+    for at, which in ((0, tag), (k, up_tag)):
+        which = np.array(which, np.int64)
+        hit = np.flatnonzero(which >= 0)
+        rows[hit, at + which[hit]] = 1
+    for at, bits, width in ((2 * k, flags, m), (2 * k + m, above, m), (2 * k + 2 * m, inside, 6)):
+        rows[:, at : at + width] = np.array(bits, np.int64)[:, None] >> np.arange(width) & 1
+    if n:
+        rows[:, 2 * k + 2 * m + 6 :] = np.array(rest, np.float32)
     return rows
 
 
@@ -285,7 +290,6 @@ class Trees:
 
 def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
     """The best consistent labelling: main only under main, and a main element has a main child."""
-    place = {id(x): i for i, x in enumerate(nodes)}
     n = len(nodes)
     gain = [0.0] * n  # best sum over the subtree given that the node is main; not main: 0 for all of it
     for i in range(n - 1, -1, -1):
@@ -293,7 +297,7 @@ def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
         if x.text is not None:
             gain[i] = odds[i]
         elif x.children:
-            kids = [gain[place[id(c)]] for c in x.children]
+            kids = [gain[c.at] for c in x.children]
             gain[i] = odds[i] + max(sum(k for k in kids if k > 0), max(kids))
         else:
             gain[i] = -np.inf
@@ -301,7 +305,7 @@ def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
     label[0] = gain[0] > 0
     for i, x in enumerate(nodes):
         if label[i] and x.children:
-            kids = [(gain[place[id(c)]], place[id(c)]) for c in x.children]
+            kids = [(gain[c.at], c.at) for c in x.children]
             top = max(kids)
             for k, j in kids:
                 label[j] = k > 0 or (j == top[1] and top[0] > -np.inf)
@@ -433,13 +437,12 @@ def labelled(html: str, main: list[str]) -> tuple[list[Node], np.ndarray]:
     """A generated page's nodes with their true labels."""
     nodes = parse(html)
     y = np.zeros(len(nodes))
-    place = {id(x): i for i, x in enumerate(nodes)}
     want = list(main)
     for i, x in enumerate(nodes):
         if x.text is not None and want and x.text == _SPACE.sub(" ", want[0]).strip():
             want.pop(0)
             while x is not None:
-                y[place[id(x)]] = 1
+                y[x.at] = 1
                 x = x.parent
     return nodes, y
 
@@ -451,9 +454,9 @@ def model() -> Trees:
         xs, ys = [], []
         for _ in range(TRAIN_PAGES):
             nodes, y = labelled(*make_page(r))
-            xs.append(features(nodes))
+            xs.append(nodes)
             ys.append(y)
-        _model.append(Trees(np.concatenate(xs), np.concatenate(ys)))
+        _model.append(Trees(features(xs), np.concatenate(ys)))
     return _model[0]
 
 
@@ -461,8 +464,7 @@ def extract_texts(pages: list[str], trees: Trees) -> list[str]:
     parsed = [parse(h) for h in pages]
     if not parsed:
         return []
-    rows = [features(p) for p in parsed]
-    odds = trees.log_odds(np.concatenate(rows))
+    odds = trees.log_odds(features(parsed))
     out, at = [], 0
     for nodes in parsed:
         label = decode(nodes, odds[at : at + len(nodes)])
