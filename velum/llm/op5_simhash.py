@@ -9,7 +9,7 @@ is high on a random strip of coordinates, inside each such list a second
 filter is applied on the remaining coordinates, and the small lists that result
 are compared by brute force. Filters are repeated until a pair at the
 similarity threshold shares a list with probability ``RECALL``; their number and
-strength follow from the number of nodes, so lists stay near ``LIST_ROWS``.
+strength follow from the number of nodes (lists of about ``LIST_ROWS`` at 50,000).
 
 Candidates are verified on the exact shingle sets. To stay clear of all pairs
 within a group, a pass emits only a few nearest candidates per node and only
@@ -39,10 +39,14 @@ from velum.functions.session import materialise, table
 from velum.llm import arrow
 from velum.llm import textkernel as tk
 
-WORDS, SIMILARITY, BITS, RECALL = 5, 0.8, 256, 0.995
+WORDS, SIMILARITY, BITS, RECALL = 5, 0.8, 256, 0.99
 LIST_ROWS, PART_ROWS, SEED, INNER = 800, 2048, 5, 0.7
-#: Hamming distance at which candidates are verified: at similarity 0.8 the mean is 39 and the deviation 6; short sets scatter more.
-NEAR, NEAR_SHORT, SHORT = 66, 82, 30
+#: Hamming distance up to which candidates are verified: at similarity 0.8 the mean is 39 and the deviation 5.7; short sets scatter more.
+NEAR, NEAR_SHORT, SHORT = 57, 78, 30
+#: The same for the first half of the bits, with four deviations: what goes beyond is not looked at further.
+HALF_NEAR, HALF_SHORT = 36, 44
+#: Bytes of shingle sets that meet in one task, about.
+SET_BYTES = 24 << 20
 LIMITS = (3, 24, None)
 
 
@@ -155,12 +159,13 @@ class Filters:
     """The random filters of both levels. Their number follows from the number of nodes and the recall."""
 
     def __init__(self, n: int):
-        share = min(1.0, LIST_ROWS / max(1, n))  # of the nodes that a list holds
+        rows = LIST_ROWS * max(0.5, math.sqrt(n / 50_000))  # lists lengthen slowly, or their number would
+        share = min(1.0, rows / max(1, n))  # of the nodes that a list holds
         self.one = share >= 1
         level = math.sqrt(share)
         self.z = _quantile(level) if not self.one else -math.inf
         cosine = 2 * SIMILARITY / (1 + SIMILARITY)
-        flips = math.acos(cosine) / math.pi + math.sqrt(0.13 / BITS)  # a deviation beyond the mean
+        flips = math.acos(cosine) / math.pi
         both = 1.0 if self.one else both_pass(self.z, 1 - 2 * flips)
         # a pair shares some first filter Poisson(m1) times, each time a second one Poisson(INNER) times
         outer = math.log(1 / (1 - RECALL)) / (1 - math.exp(-INNER))
@@ -194,13 +199,15 @@ def candidates(sig: np.ndarray, fp: np.ndarray, size: np.ndarray, comp: np.ndarr
     left, right, more = [], [], []
     cols = np.arange(m) if other is None else np.arange(other, m)
     upto = m if other is None else other
+    half = HALF_SHORT if len(size) and size.min() < SHORT else HALF_NEAR
+    words = [np.ascontiguousarray(fp[:, c]) for c in range(4)]
     for at in range(0, upto, 256):
         to = min(at + 256, upto)
-        d = np.zeros((to - at, len(cols)), np.uint16)
-        for c in range(4):
-            d += np.bitwise_count(fp[at:to, None, c] ^ fp[None, cols, c])
-        r, k = np.nonzero(d <= NEAR_SHORT)
-        dist, i, j = d[r, k], at + r, cols[k]
+        d = np.bitwise_count(words[0][at:to, None] ^ words[0][None, cols])
+        d += np.bitwise_count(words[1][at:to, None] ^ words[1][None, cols])
+        r, k = np.nonzero(d <= half)
+        i, j = at + r, cols[k]
+        dist = d[r, k].astype(np.int64) + np.bitwise_count(words[2][i] ^ words[2][j]) + np.bitwise_count(words[3][i] ^ words[3][j])
         small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         ok = (i != j) & (small >= SIMILARITY * large - 1e-9) & (dist <= np.where(large < SHORT, NEAR_SHORT, NEAR)) & (comp[i] != comp[j]).any(axis=1)
         if limit is None and other is None:
@@ -353,20 +360,32 @@ def _search_all(nodes: DataFrame, filters: Filters) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of at least SIMILARITY. sets: sig, s (binary, sorted uint64)."""
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("s").to_pylist(), b.column("t").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(same >= SIMILARITY * (len(x) + len(y) - same) - 1e-9)
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    one = pairs.join(sets.select(F.col("sig").alias("a"), "s"), "a")
-    both = one.join(sets.select(F.col("sig").alias("b"), F.col("s").alias("t")), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(run, _PAIRS)
+    """The pairs whose sets have a Jaccard similarity of at least SIMILARITY. sets: sig, s (binary, sorted uint64).
+
+    Nodes are dealt into blocks of about SET_BYTES of sets and pairs into cells of two blocks, so a set travels
+    once to each cell that needs it, and not once for each of its pairs.
+    """
+    total = sets.agg(F.sum(F.length("s"))).first()[0] or 0
+    blocks = max(1, -(-total // SET_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(21)), F.lit(blocks))
+    low, high = F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))
+    dealt = pairs.select((low * blocks + high).alias("cell"), "a", "b")
+    needed = dealt.select("cell", F.explode(F.array("a", "b")).alias("sig")).distinct().join(sets, "sig").select("cell", "sig", "s")
+
+    def check(p: pa.Table, q: pa.Table) -> pa.Table:
+        own = {k: np.frombuffer(v, np.uint64) for k, v in zip(q["sig"].to_pylist(), q["s"].to_pylist())}
+        keep = []
+        for a, b in zip(p["a"].to_pylist(), p["b"].to_pylist()):
+            x, y = own[a], own[b]
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            same = int((y[at] == x).sum())
+            keep.append(same >= SIMILARITY * (len(x) + len(y) - same) - 1e-9)
+        return p.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return dealt.groupBy("cell").cogroup(needed.toDF("at", "sig", "s").groupBy("at")).applyInArrow(check, _PAIRS)
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
