@@ -7,6 +7,9 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.sql.functions import pandas_udf
+
 from velum.functions import sqlx as F
 from velum.functions.sqlx import X
 from velum.functions.text import WS
@@ -216,9 +219,6 @@ def confidence(entity: str, valid: X) -> X:
 
 def udf_validator(spark, name: str, fn: Callable[[str], bool]) -> Callable[[X], X]:
     """A validator that calls a Python function in Arrow batches (registered in the session as ``name``)."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     def batch(values: pd.Series) -> pd.Series:
         return values.map(lambda v: bool(v is not None and fn(v)))
 
