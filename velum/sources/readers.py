@@ -129,6 +129,7 @@ def read_html(html: str | None) -> str:
 
 def html_to_text(df: DataFrame, html_col: str = "html", out_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds the readable text of each page, in Arrow batches (HTML has no JVM-side parser)."""
+
     @F.pandas_udf("string")
     def convert(pages: pd.Series) -> pd.Series:
         return pages.map(read_html)
@@ -142,9 +143,9 @@ def locate(df: DataFrame, id_col: str, text_col: str, needle_col: str, order_col
     from pyspark.sql import Window as W
 
     nth = F.row_number().over(W.partitionBy(id_col, needle_col).orderBy(order_col))
-    before = F.array_join(F.slice(F.split(text_col, F.concat(F.lit(r"\Q"), F.col(needle_col), F.lit(r"\E"))), F.lit(1), F.col("__n")), F.col(needle_col))
-    found = F.size(F.split(text_col, F.concat(F.lit(r"\Q"), F.col(needle_col), F.lit(r"\E")))) > F.col("__n")
-    return df.withColumn("__n", nth).withColumn("start", F.when(found, F.char_length(before))).drop("__n")
+    parts = rf"split(`{text_col}`, concat('\\Q', `{needle_col}`, '\\E'))"
+    before = F.expr(f"array_join(slice({parts}, 1, __n), `{needle_col}`)")
+    return df.withColumn("__n", nth).withColumn("start", F.when(F.expr(f"size({parts}) > __n"), F.char_length(before))).drop("__n")
 
 
 def tolerant_json(raw: Column) -> Column:
