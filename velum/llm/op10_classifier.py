@@ -7,8 +7,8 @@ is the sum over its n-grams of log(target / raw). Documents are drawn without
 replacement by Gumbel top-k: each gets its weight plus Gumbel noise (from a
 hash of its id and text, so a rerun draws the same), and the k largest stay.
 ``k`` is counted, not given: the number of documents whose weight per n-gram
-reaches a threshold, which is set on the labelled good documents so that
-``KEEP_GOOD`` of them reach it. The k-th largest key is found exactly by radix
+reaches a threshold, which is set so that ``KEEP_GOOD`` of the labelled good
+documents reach it that are held out from the fit (half of them, by a hash). The k-th largest key is found exactly by radix
 selection (counts of 2^12 bins a pass), never by a sort in one task.
 
 Counts leave each task as one row of sums, so a hot word, source or group of
@@ -93,17 +93,22 @@ def fit(docs: DataFrame, good_col: str, text_col: str = "text") -> np.ndarray:
     return np.log(p[0]) - np.log(p[1])
 
 
+def _held_out():
+    """The labelled documents that set the threshold; the others fit the target model."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2)) == 0
+
+
 def weigh(docs: DataFrame, ratio: np.ndarray, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` as the struct ``row``, good, n_ngrams, log_weight (sum) and draw (uniform in (0, 1), from id and text)."""
+    """Columns ``keep`` as the struct ``row``, good, held, n_ngrams, log_weight (sum) and draw (uniform in (0, 1), from id and text)."""
 
     def run(texts: list[str]) -> list[pa.Array]:
         bucket, owner = ngram_buckets(texts)
         return [pa.array(np.bincount(owner, minlength=len(texts)), pa.int64()), pa.array(np.bincount(owner, ratio[bucket], len(texts)), pa.float64())]
 
-    named = docs.select(F.struct(*keep).alias("row"), F.col("__good").alias("good"), F.col(text_col).alias("__t"), F.xxhash64(F.lit(17), "doc_id", F.col(text_col)).alias("__h"))
-    out = arrow.add_columns(named, "__t", "n_ngrams long, log_weight double", run, ["row", "good", "__h"])
+    named = docs.select(F.struct(*keep).alias("row"), F.col("__good").alias("good"), _held_out().alias("held"), F.col(text_col).alias("__t"), F.xxhash64(F.lit(17), "doc_id", F.col(text_col)).alias("__h"))
+    out = arrow.add_columns(named, "__t", "n_ngrams long, log_weight double", run, ["row", "good", "held", "__h"])
     uniform = (F.shiftrightunsigned("__h", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    return out.select("row", "good", "n_ngrams", "log_weight", uniform.alias("draw"))
+    return out.select("row", "good", "held", "n_ngrams", "log_weight", uniform.alias("draw"))
 
 
 def top_k_threshold(df: DataFrame, key: str, k: int) -> int | None:
@@ -133,10 +138,10 @@ def resample(docs: DataFrame, good: DataFrame, keep: tuple[str, ...], text_col:
     share = max_labelled / max(1, good.count())
     used = good.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).groupBy("doc_id").agg(F.max("is_good").alias("__good"))
     labelled = docs.join(F.broadcast(used), "doc_id", "left")
-    ratio = fit(labelled, "__good", text_col)
+    ratio = fit(labelled.withColumn("__target", F.col("__good") & ~_held_out()), "__target", text_col)
     weighed = materialise(weigh(labelled, ratio, keep, text_col), "weights")
     scored = weighed.select("*", (F.col("log_weight") / F.greatest(F.col("n_ngrams"), F.lit(1))).alias("per_ngram"))
-    at = scored.where("good").select(F.percentile_approx("per_ngram", 1 - KEEP_GOOD, 100_000)).first()[0]
+    at = scored.where("good AND held").select(F.percentile_approx("per_ngram", 1 - KEEP_GOOD, 100_000)).first()[0]
     if at is None:
         return scored.select("*", F.lit(True).alias("kept"))
     k = scored.where(F.col("per_ngram") >= at).count()

@@ -360,16 +360,22 @@ def _search_all(nodes: DataFrame, filters: Filters) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of at least SIMILARITY. sets: sig, s (binary, sorted uint64).
+    """The pairs whose sets have a Jaccard similarity of at least SIMILARITY. sets: sig, n, s (binary, sorted uint64).
 
-    Nodes are dealt into blocks of about SET_BYTES of sets and pairs into cells of two blocks, so a set travels
-    once to each cell that needs it, and not once for each of its pairs.
+    Pairs meet by component of the candidate graph, many small ones in one cell of about SET_BYTES of sets, so a
+    set travels once and not once for each of its pairs; a component beyond SET_BYTES is dealt into blocks, and its
+    pairs into cells of two blocks.
     """
-    total = sets.agg(F.sum(F.length("s"))).first()[0] or 0
-    blocks = max(1, -(-total // SET_BYTES))
-    block = lambda c: F.pmod(F.xxhash64(c, F.lit(21)), F.lit(blocks))
+    families = materialise(components(pairs), "families")
+    sized = families.join(sets.select("sig", "n"), "sig").groupBy("comp").agg(F.sum("n").alias("n"))
+    total = 8 * (sized.agg(F.sum("n")).first()[0] or 0)
+    bins = max(1, -(-total // SET_BYTES))
+    blocks = sized.select("comp", F.ceil(F.col("n") * 8 / F.lit(SET_BYTES)).cast("long").alias("blocks"))
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(21)), F.col("blocks"))
     low, high = F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))
-    dealt = pairs.select((low * blocks + high).alias("cell"), "a", "b")
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(bins))).otherwise(F.xxhash64("comp", low, high))
+    dealt = pairs.join(families.withColumnRenamed("sig", "a"), "a").join(blocks, "comp").select(cell.alias("cell"), "a", "b")
+    dealt = materialise(dealt, "dealt")
     needed = dealt.select("cell", F.explode(F.array("a", "b")).alias("sig")).distinct().join(sets, "sig").select("cell", "sig", "s")
 
     def check(p: pa.Table, q: pa.Table) -> pa.Table:
@@ -454,7 +460,7 @@ def _sets(plain: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
 
     some = plain.join(rows.select("doc_id").distinct(), plain["doc_id"].eqNullSafe(rows["doc_id"]), "left_semi")
     made = arrow.add_columns(some, "text", "sig binary, s binary", run, [])
-    return materialise(made.join(ids, "sig", "left_semi").groupBy("sig").agg(F.first("s").alias("s")), "sets")
+    return materialise(made.join(ids, "sig", "left_semi").groupBy("sig").agg(F.first("s").alias("s")).select("sig", (F.length("s") / 8).cast("long").alias("n"), "s"), "sets")
 
 
 def _sig_only(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, None]:

@@ -192,17 +192,18 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", found_col:
         raise ValueError("a key has 16 bytes at least")
     makers = {"email": _email, "secret": _secret, "ip": _ip, "ssn": _ssn, "date": _date, "phone": _phone, "card": _card}
     cols = [c for c in docs.columns if c.lower() not in (found_col.lower(),)]
-    names = [c for c in cols if c != text_col]
-    df = docs.select(F.struct(*cols).alias("row"), F.col(text_col).alias("text"))
+    # the other columns under names of their own (as a struct they would be pruned field by field through the steps below)
+    held = {c: f"__c{i}" for i, c in enumerate(cols) if c != text_col}
+    names = list(held.values())
+    df = docs.select(*(F.col(c).alias(n) for c, n in held.items()), F.col(text_col).alias("text"))
     may = F.col("text").rlike("[0-9@=:]")
-    df = df.select("row", "text", F.inline(F.array(F.struct(F.when(may, F.regexp_extract_all("text", F.lit(CANDIDATE), 0)).alias("raw")))))
+    df = df.select(*names, "text", F.inline(F.array(F.struct(F.when(may, F.regexp_extract_all("text", F.lit(CANDIDATE), 0)).alias("raw")))))
 
     def judged(m):
         kind = F.lit(None).cast("string")
         for k in ("secret", *(k for k in reversed(KINDS) if k != "secret")):  # the last that holds counts: numbers before secrets
             # a whole match of its own pattern; look-arounds have been met in the text
             kind = F.when(m.rlike("^(?:" + _inside(k) + ")$"), F.lit(k)).otherwise(kind)
-        made = F.lit(None).cast("string")
         return F.struct(m.alias("old"), kind.alias("kind"))
 
     def replaced(x):
@@ -212,7 +213,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", found_col:
         return F.struct(x["old"].alias("old"), x["kind"].alias("kind"), made.alias("new"))
 
     some = F.col("raw").isNotNull() & (F.size("raw") > 0)
-    df = df.select("row", "text", F.inline(F.array(F.struct(F.when(some, F.transform(F.transform("raw", judged), replaced)).alias("hits"), F.when(some, F.split("text", CANDIDATE)).alias("gaps")))))
+    df = df.select(*names, "text", F.inline(F.array(F.struct(F.when(some, F.transform(F.transform("raw", judged), replaced)).alias("hits"), F.when(some, F.split("text", CANDIDATE)).alias("gaps")))))
     new = F.transform("hits", lambda x: F.coalesce(x["new"], x["old"]))
     whole = F.array_join(F.flatten(F.transform("gaps", lambda g, i: F.array(g, F.coalesce(F.get(new, i), F.lit(""))))), "")
     spans = F.aggregate(
@@ -225,9 +226,9 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", found_col:
         lambda a: a["spans"],
     )
     any_hit = F.col("hits").isNotNull()
-    out = {text_col: F.when(any_hit, whole).otherwise(F.col("text"))}
+    text = F.when(any_hit, whole).otherwise(F.col("text"))
     return df.select(
-        *(out[c].alias(c) if c == text_col else F.col("row")[c].alias(c) for c in cols),
+        *(text.alias(c) if c == text_col else F.col(held[c]).alias(c) for c in cols),
         F.when(any_hit, spans).otherwise(F.array().cast("array<struct<kind:string,start:int,length:int>>")).alias(found_col),
     )
 
