@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from velum.functions import sqlx as X
 from velum.functions import validators as V
@@ -35,4 +34,3 @@ def test_constructors_and_formats(spark):
 def test_unknown_entity():
     with pytest.raises(ValueError):
         V.is_valid("BR_NONE", X.lit("1"))
-    assert F is not None
