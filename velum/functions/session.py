@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 MAX_BROADCAST_ROWS = 200_000
 
 
+#: Paths that materialise() has written in this process.
+written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -35,6 +39,7 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/velum/{name}-{uuid.uuid4().hex}"
+    written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,5 +51,13 @@ def cleanup(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``materialise`` has written and nobody reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
