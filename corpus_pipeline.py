@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from velum.functions import session
 from velum.functions.session import materialise, table
 from velum.llm import op5_simhash, op6_rules, op8_pii, op9_packing, op10_classifier
 
@@ -38,13 +39,23 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op9_packing.pack_documents(docs)
 
 
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("quality_classifier", quality_classifier),
-    ("near_dedup", near_dedup),
-    ("pii", pii),
-    ("packing", packing),
-]
+_earlier: list[str] = []
+
+
+def _tidy(stage):
+    """The stage, which first drops the tables of the stage before: that one's result is written when the next begins."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        session.drop_tables(spark, _earlier)
+        begin = len(session.written)
+        out = stage(spark, docs, sf_dir)
+        _earlier[:] = session.written[begin:]
+        return out
+
+    return run_stage
+
+
+STAGES = [(f.__name__, _tidy(f)) for f in (quality_rules, quality_classifier, near_dedup, pii, packing)]
 
 #: Expectation-maximisation, trained models and connected components have no SQL form here; the stages are tested one by one.
 ORACLE_SQL = None

@@ -328,7 +328,8 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     ids = {x.doc_id for x in docs.collect()}
     assert 62 not in ids and not ids & {60, 61} and len(ids) >= 57
