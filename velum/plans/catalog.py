@@ -129,7 +129,7 @@ _add("validate_any", lambda s, d: _columns(_columns(_keys(s, d), entity=F.when(F
 # --- text ---------------------------------------------------------------------------------------------------------
 _WIDE = "".join(chr(0xFF10 + i) for i in range(10))
 _add("normalise_text", lambda s, d: _columns(_keys(s, d), text=normalise(F.concat(F.translate(F.col("k").cast("string"), "0123456789", _WIDE), "–１．／ é"))), f"SELECT k, k || '-1./ é' AS text FROM ({_K})")
-_add("fold_text", lambda s, d: _columns(table(s, d, "documents").select("doc_id", "text"), folded=fold(F.substring(F.col("text"), 1, 500))).drop("text"), "SELECT doc_id, translate(substr(text, 1, 500), 'ABCDEFGHIJKLMNOPQRSTUVWXYZéèêóñüçäöíÉÈÊÓÑÜÇÄÖÍ', 'abcdefghijklmnopqrstuvwxyzeeeonucaoieeeonucaoi') AS folded FROM documents")
+_add("fold_text", lambda s, d: _columns(table(s, d, "documents").select("doc_id", "text"), folded=fold(F.col("text"))).drop("text"), "SELECT doc_id, translate(substr(text, 1, 500), 'ABCDEFGHIJKLMNOPQRSTUVWXYZéèêóñüçäöíÉÈÊÓÑÜÇÄÖÍ', 'abcdefghijklmnopqrstuvwxyzeeeonucaoieeeonucaoi') AS folded FROM documents")
 _add("strip_invisible", lambda s, d: _columns(_keys(s, d), text=strip_invisible(F.concat(F.col("k").cast("string"), "​1­2́é"))), f"SELECT k, k || '12é' AS text FROM ({_K})")
 _add("has_invisible_near_digit", lambda s, d: _columns(_keys(s, d), near=invisible_near_digit(F.concat(F.when(F.pmod(F.col("k"), 2) == 0, "ab​cd").otherwise("a​b"), F.col("k").cast("string")))), f"SELECT k, k % 2 = 1 AS near FROM ({_K})")
 _add("canonical_forms", lambda s, d: _columns(_keys(s, d), label=canonical_label(F.concat("ab-", F.translate(F.col("k").cast("string"), "0123456789", _WIDE))), vault=canonical_vault(F.concat("ab-", F.translate(F.col("k").cast("string"), "0123456789", _WIDE), ".x"))), f"SELECT k, 'AB' || k AS label, 'ABX' AS vault FROM ({_K})")
