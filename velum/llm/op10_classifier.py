@@ -7,9 +7,12 @@ is the sum over its n-grams of log(target / raw). Documents are drawn without
 replacement by Gumbel top-k: each gets its weight plus Gumbel noise (from a
 hash of its id and text, so a rerun draws the same), and the k largest stay.
 ``k`` is counted, not given: the number of documents whose weight per n-gram
-reaches a threshold, which is set so that ``KEEP_GOOD`` of the labelled good
-documents reach it that are held out from the fit (half of them, by a hash). The k-th largest key is found exactly by radix
-selection (counts of 2^12 bins a pass), never by a sort in one task.
+reaches a threshold, which is set on the labelled documents that are held out
+from the fit (half of them, by a hash). Of the cuts at the quantiles 1 -
+``KEEP_GOOD`` to ``MAX_QUANTILE`` of the good ones, in steps of 0.001, the one
+with the largest share of good kept less share of bad kept is taken; without
+held-out bad documents it is the first. The k-th largest key is found exactly
+by radix selection (counts of 2^12 bins a pass), never by a sort in one task.
 
 Counts leave each task as one row of sums, so a hot word, source or group of
 copies costs no more than any other. The models have ``BUCKETS`` entries each
@@ -34,7 +37,10 @@ from velum.llm import textkernel as tk
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
+#: Share of held-out good documents that the lowest cut keeps.
 KEEP_GOOD = 0.999
+#: Quantile of the held-out good documents at the highest cut.
+MAX_QUANTILE = 0.1
 #: Labelled documents that are used at most: a bound on the broadcast (about 2 MB).
 MAX_LABELLED = 100_000
 #: Scale of the Gumbel noise, in units of log weight per n-gram times the square root of their number.
@@ -128,6 +134,28 @@ def top_k_threshold(df: DataFrame, key: str, k: int) -> int | None:
     return (prefix & (1 << 64) - 1) - (1 << 63)
 
 
+def cut(scored: DataFrame) -> tuple[float, float, float | None] | None:
+    """(threshold, share of held-out good kept, share of held-out bad kept); no bad: None as that share, no good: None.
+
+    ``scored``: good, held, per_ngram. The cut with the best difference of the
+    two shares, the lowest of equal ones: one outlier moves a quantile of the
+    good by its own weight only, and costs what bad documents it lets in.
+    """
+    held = scored.where("held AND good IS NOT NULL").select("good", "per_ngram")
+    steps = [1 - KEEP_GOOD + 0.001 * i for i in range(round((MAX_QUANTILE - 1 + KEEP_GOOD) / 0.001) + 1)]
+    found = held.where("good").select(F.percentile_approx("per_ngram", steps, 100_000)).first()[0]
+    if found is None:
+        return None
+    cuts = sorted(set(found))
+    reached = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("per_ngram") >= c)).alias("reached")
+    counts = np.zeros((2, len(cuts) + 1))
+    for r in held.groupBy("good", reached).count().collect():  # 2 * (cuts + 1) rows at most
+        counts[int(r["good"]), r["reached"]] = r["count"]
+    kept = counts[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:] / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    best = int(np.argmax(kept[1] - kept[0])) if counts[0].any() else 0
+    return cuts[best], float(kept[1, best]), float(kept[0, best]) if counts[0].any() else None
+
+
 def resample(docs: DataFrame, good: DataFrame, keep: tuple[str, ...], text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``docs`` weighed (their columns ``keep`` as the struct ``row``), with ``key`` and ``kept``.
 
@@ -141,10 +169,10 @@ def resample(docs: DataFrame, good: DataFrame, keep: tuple[str, ...], text_col:
     ratio = fit(labelled.withColumn("__target", F.col("__good") & ~_held_out()), "__target", text_col)
     weighed = materialise(weigh(labelled, ratio, keep, text_col), "weights")
     scored = weighed.select("*", (F.col("log_weight") / F.greatest(F.col("n_ngrams"), F.lit(1))).alias("per_ngram"))
-    at = scored.where("good AND held").select(F.percentile_approx("per_ngram", 1 - KEEP_GOOD, 100_000)).first()[0]
+    at = cut(scored)
     if at is None:
         return scored.select("*", F.lit(True).alias("kept"))
-    k = scored.where(F.col("per_ngram") >= at).count()
+    k = scored.where(F.col("per_ngram") >= at[0]).count()
     gumbel = -F.log(-F.log(F.col("draw")))
     noisy = F.col("per_ngram") + TEMPERATURE * gumbel / F.sqrt(F.greatest(F.col("n_ngrams"), F.lit(1)))
     keyed = scored.select("*", F.round(noisy * 1e12).cast("long").alias("key"))
