@@ -1,9 +1,9 @@
 """The corpus operators do the whole job: cases that an earlier version left out."""
 
 import random
+import re
 
-
-from velum.llm import op10_classifier
+from velum.llm import op8_pii, op10_classifier
 
 
 def test_cut_weighs_good_against_bad(spark):
@@ -15,3 +15,26 @@ def test_cut_weighs_good_against_bad(spark):
     only_good = spark.createDataFrame(rows[:502], "good boolean, held boolean, per_ngram double")
     assert op10_classifier.cut(only_good) == (-0.9, 1.0, None)
     assert op10_classifier.cut(only_good.where("NOT good")) is None
+
+
+SECRETS = {
+    "token = " + "a1B2" * 100: "a1B2" * 100, '{"api_key": "0123456789abcdefXYZ"}': "0123456789abcdefXYZ", "{'password': 'hunter2'}": "hunter2",
+    "passwd: s3cr#t!x,": "s3cr#t!x", "password=abcdef": "abcdef", "secret: ab12cd34 x": "ab12cd34",
+}
+DATES = ["3/7/1999", "03.07.1999", "3-7-1999", "31.12.2001", "12/31/2001", "1999-7-3", "1999/07/03", "1999.7.3"]
+STAY = ["token: something", "the secret: 1234567", "31.2.1999", "32/1/1999", "v 1.2.3.1999", "3/7-1999", "1999-13-01", "13/13/2001"]
+
+
+def test_secrets_and_dates_of_all_forms(spark):
+    texts = [*SECRETS, *(f"on {d}." for d in DATES), *STAY]
+    out = {r.doc_id: r for r in op8_pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), op8_pii.DEMO_KEY).collect()}
+    for k, (text, value) in enumerate(SECRETS.items()):
+        (p,) = out[k].pii
+        new = out[k].text[p.start : p.start + p.length]
+        assert p.kind == "secret" and p.length == len(value) and new != value and out[k].text.replace(new, value) == text, text
+    for k, d in enumerate(DATES, len(SECRETS)):
+        (p,) = out[k].pii
+        new = out[k].text[p.start : p.start + p.length]
+        assert p.kind == "date" and new != d and re.sub(r"\d+", "", new) == re.sub(r"\d+", "", d) and out[k].text == f"on {new}.", d
+    for k, text in enumerate(STAY, len(SECRETS) + len(DATES)):
+        assert out[k].text == text and not out[k].pii, text

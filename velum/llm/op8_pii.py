@@ -13,9 +13,15 @@ All of it is DataFrame expressions: one alternation finds the candidates,
 replaced, and the text is joined again. No shuffle; only texts with a digit or
 one of ``@ = :`` are looked at (every kind needs one).
 
-A candidate that fails its validation stays as it is. A date keeps its
-century; a slashed date counts as day/month/year where that is a date, else as
-month/day/year. A card keeps its first six digits and gets a new check digit.
+A secret has 16 characters or more, or 8 if a letter and a digit are among
+them; a password has 4 or more of any printable kind but quotes, commas,
+semicolons, angle brackets and backslashes. The key may stand in quotes.
+
+A candidate that fails its validation stays as it is. A date has its year
+first or last, '/', '.' or '-' between its parts, and days and months of one
+or two digits. It keeps its century; one with the year last counts as day,
+month, year where that is a date, else as month, day, year. A card keeps its
+first six digits and gets a new check digit.
 
 Cases: a null or empty text stays so and has no findings; repeated rows are
 treated alike; an empty table gives an empty result; other columns are kept,
@@ -38,12 +44,25 @@ from velum.functions.session import table
 DEMO_KEY = b"velum demonstration key 7f3b9a1c"
 ROUNDS = 8
 
+_PASSWORD, _SECRET = "password|passwd", r"token|secret|api[_\-]?key|access[_\-]?key"
+#: A password runs to the next blank, quote, comma, semicolon, angle bracket or backslash.
+_PASSWORD_VALUE = r"[!-~&&[^\"'`,;<>\\]]{4,}+"
+#: Of fewer than 16 characters only with a letter and a digit, so that words and counts after "token:" stay.
+_SECRET_VALUE = r"(?=[A-Za-z0-9])(?:[A-Za-z0-9_/+\-]{16,}+|(?=[A-Za-z_/+\-]{0,14}[0-9])(?=[0-9_/+\-]{0,14}[A-Za-z])[A-Za-z0-9_/+\-]{8,15}+(?![A-Za-z0-9_/+\-]))"
+_DATES = "|".join(rf"\d{{4}}{s}\d{{1,2}}{s}\d{{1,2}}|\d{{1,2}}{s}\d{{1,2}}{s}\d{{4}}" for s in ("/", r"\.", "-"))
+
+
+def _after(keys: str) -> str:
+    """What stands before a secret: a key, perhaps its closing quote, '=' or ':', perhaps an opening quote."""
+    return rf"(?i:{keys})[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?"
+
+
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?=[A-Za-z0-9])(?<=[\"'=:\s])(?<=(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[A-Za-z0-9_/+\-]{16,256}(?![A-Za-z0-9_/+\-])",
+    "secret": rf"(?=[!-~])(?<=[\"'=:\s])(?<=[=:][ \t]{{0,3}}[\"']?)(?:(?<={_after(_PASSWORD)}){_PASSWORD_VALUE}|(?<={_after(_SECRET)}){_SECRET_VALUE})",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "date": r"(?<![\d/\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/\-])",
+    "date": rf"(?<!\d[/.\-])(?<![\d/\-])(?:{_DATES})(?![\d/\-]|\.\d)",
     "phone": r"(?<![\w+])(?:\+1[ .\-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .\-])[2-9]\d{2}[ .\-]\d{4}(?!\d)|(?<![\w+])\+(?!1[ .\-(])\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,4}(?!\d)",
     "card": r"(?<![\d])\d(?:[ \-]?\d){12,18}(?![\d])",
 }
@@ -143,10 +162,11 @@ def _ssn(key: bytes, m: Column) -> Column:
 
 
 def _date(key: bytes, m: Column) -> Column:
-    iso = m.contains("-")
-    as_date = lambda f: F.try_to_timestamp(m, F.lit(f)).cast("date")
-    day_first = as_date("dd/MM/yyyy")
-    date = F.when(iso, as_date("yyyy-MM-dd")).otherwise(F.coalesce(day_first, as_date("MM/dd/yyyy")))
+    part = [F.get(F.split(m, r"[/.\-]"), F.lit(i)) for i in range(3)]
+    year_first = F.length(part[0]) == 4
+    as_date = lambda y, a, d: F.try_to_timestamp(F.concat_ws("-", y, _pad(a, 2), _pad(d, 2)), F.lit("yyyy-MM-dd")).cast("date")
+    day_first = as_date(part[2], part[1], part[0])
+    date = F.when(year_first, as_date(*part)).otherwise(F.coalesce(day_first, as_date(part[2], part[0], part[1])))
 
     def made(d):
         century = (F.floor(F.year(d) / 100) * 100).cast("int")
@@ -156,7 +176,15 @@ def _date(key: bytes, m: Column) -> Column:
         n = F.datediff(d, first)
         p = permute_number(key, "date", F.floor(n / my), n % my, mx, my)
         moved = F.transform(F.array(p), lambda p: F.date_add(first, (p["x"] * my + p["y"]).cast("int")))[0]
-        return F.transform(F.array(moved), lambda t: F.when(iso, F.date_format(t, "yyyy-MM-dd")).when(day_first.isNotNull(), F.date_format(t, "dd/MM/yyyy")).otherwise(F.date_format(t, "MM/dd/yyyy")))[0]
+        like = lambda x, old: F.when(F.length(old) == 1, x.cast("string")).otherwise(_pad(x, 2))
+
+        def written(t):
+            y, a, d = _pad(F.year(t), 4), F.month(t), F.day(t)
+            sep = F.regexp_extract(m, r"[/.\-]", 0)
+            month_first = F.concat(like(a, part[0]), sep, like(d, part[1]), sep, y)
+            return F.when(year_first, F.concat(y, sep, like(a, part[1]), sep, like(d, part[2]))).when(day_first.isNotNull(), F.concat(like(d, part[0]), sep, like(a, part[1]), sep, y)).otherwise(month_first)
+
+        return F.transform(F.array(moved), written)[0]
 
     return F.transform(F.array(date), lambda d: F.when(d.isNotNull() & (F.year(d) >= 1000), made(d)))[0]
 
@@ -237,7 +265,9 @@ def _inside(kind: str) -> str:
     """A kind's pattern for the matched string alone."""
     import re
 
-    p = PATTERNS[kind].replace(r"(?=[A-Za-z0-9])(?<=[\"'=:\s])(?<=(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)", "(?=[A-Za-z0-9])")
+    if kind == "secret":
+        return f"{_PASSWORD_VALUE}|{_SECRET_VALUE}"
+    p = PATTERNS[kind].replace(r"(?<!\d[/.\-])", "")
     return re.sub(r"\(\?<!\[[^\]]*\]\)", "", p)
 
 
