@@ -2,8 +2,9 @@
 
 import random
 import re
+import textwrap
 
-from velum.llm import op8_pii, op10_classifier
+from velum.llm import op3_licenses, op8_pii, op10_classifier
 
 
 def test_cut_weighs_good_against_bad(spark):
@@ -38,3 +39,15 @@ def test_secrets_and_dates_of_all_forms(spark):
         assert p.kind == "date" and new != d and re.sub(r"\d+", "", new) == re.sub(r"\d+", "", d) and out[k].text == f"on {new}.", d
     for k, text in enumerate(STAY, len(SECRETS) + len(DATES)):
         assert out[k].text == text and not out[k].pii, text
+
+
+def test_wrapped_notices_are_found(spark):
+    rows = [(k, width, label, "some words before\n\n" + "\n".join("# " + x for x in textwrap.wrap(notice, width)) + "\n\nand after it") for k, (label, notice) in enumerate(op3_licenses.TEMPLATES) for width in (20, 40, 79)]
+    rows.append((99, 0, "", "redistribution and use\nin source\n" + "filler " * 100 + "\nand binary forms with or without modification are permitted provided that"))
+    df = spark.createDataFrame(rows, "k long, width long, label string, text string")
+    for x in op3_licenses.scan(df, keep=("k", "width", "label", "text")).collect():
+        if x.label:
+            assert x.label in x.labels.split(",") and x.score == 1.0, x.text
+            assert any(m.template == x.k and m.containment == 1.0 for m in x.matches), x.text
+        else:
+            assert x.labels == "" and x.score == 0.0

@@ -1,15 +1,18 @@
 """Operator 3 [native]: license scan by an exact set-similarity join.
 
-Blocks of text (lines) are joined with license templates: a pair is found
-exactly when the block holds at least ``threshold`` of the template's distinct
-words. Words are ordered by how many documents hold them, rarest first. A
+Blocks of text are joined with license templates: a pair is found exactly when
+the block holds at least ``threshold`` of the template's distinct words. Blocks
+are the lines and, for notices that are wrapped, every run of words over line
+breaks that is as long as the template (counted with its repeated words). Words are ordered by how many documents hold them, rarest first. A
 block can only reach a template if the two prefixes (the first size - need + 1
 words, need = ceil(threshold * template size)) share a word, if the block has
 at least ``need`` words of the vocabulary (length filter), and if what follows
 the first shared word still suffices (positional filter); only pairs that pass
 all three are verified. A word outside the templates' vocabulary can match
 nothing, and ordering such words after all others changes no result, so a
-block is reduced to its vocabulary words first.
+block is reduced to its vocabulary words first. A run that reaches a template
+holds a word of the template's prefix as well, so runs are only looked at
+around such words, and only if the words about one suffice together.
 
 The templates are a parameter of bounded size and stand in the plan as
 literals, so documents are never shuffled: the join side that grows stays
@@ -80,7 +83,11 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str =
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """``keep``, counts and labels of each whole text, and ``matches``: array<struct<line, template, containment>>, lines from 0."""
+    """``keep``, counts and labels of each whole text, and ``matches``: array<struct<line, template, containment>>, lines from 0.
+
+    A match of a run has the line in which the run begins: for each prefix word of the template, the first run around it with the most words.
+    """
+    lengths = [len(words_of(text)) for _, text in templates]
     sets = [(label, sorted(set(words_of(text)))) for label, text in templates]
     vocabulary = sorted({w for _, s in sets for w in s})
     if len(sets) > MAX_TEMPLATES or len(vocabulary) > MAX_VOCABULARY:
@@ -112,15 +119,38 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
         return F.when(passes, F.size(common) / F.lit(float(len(ranks))))
 
     vocab = F.array(*map(F.lit, ordered))
-    as_ranks = lambda x: F.transform(F.array_intersect(vocab, F.split(F.trim(_spaced(x)), "  ")), lambda w: (F.array_position(vocab, w) - 1).cast("int"))
-    lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), as_ranks)
+    as_ranks = lambda ws: F.transform(F.array_intersect(vocab, ws), lambda w: (F.array_position(vocab, w) - 1).cast("int"))
+    line_words = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.array_remove(F.split(F.trim(_spaced(x)), "  "), ""))
     # only texts that hold a word of some template's prefix can hold a match
     may = spaced.rlike(" (?:" + "|".join(map(re.escape, rare)) + ") ")
-    df = df.select("row", "spaced", F.inline(F.array(F.struct(F.when(may, lines).otherwise(F.array().cast("array<array<int>>")).alias("lines")))))
+    df = df.select("row", "spaced", F.inline(F.array(F.struct(F.when(may, line_words).otherwise(F.array().cast("array<array<string>>")).alias("line_words")))))
+    words = F.flatten("line_words")
+    line_at = F.flatten(F.transform("line_words", lambda ws, k: F.array_repeat(k, F.size(ws))))
+    df = df.select("row", "spaced", F.inline(F.array(F.struct(F.transform("line_words", as_ranks).alias("lines"), words.alias("words"), line_at.alias("line_at")))))
+    anchors = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(rare))
+    df = df.select("row", "spaced", "lines", "words", "line_at", F.inline(F.array(F.struct(F.when(F.size("lines") > 1, anchors).otherwise(F.array().cast("array<struct<i:int,w:string>>")).alias("anchors")))))
+
+    def runs(t: int) -> Column:
+        """Matches of template t in runs of its length over line breaks, one for each prefix word at most."""
+        mine, size, n = [ordered[r] for r in sets[t][1]], lengths[t], need[t]
+        own = F.array(*map(F.lit, mine))
+        common = lambda a, k: F.size(F.array_intersect(own, F.slice("words", a + 1, F.lit(k))))
+
+        def best(x):
+            low = F.greatest(x["i"] - size + 1, F.lit(0))
+            crosses = lambda a: F.get("line_at", a) != F.get("line_at", F.least(a + size, F.size("words")) - 1)
+            made = F.transform(F.filter(F.sequence(low, x["i"]), crosses), lambda a: F.struct(common(a, size).alias("c"), (-a).alias("a")))
+            return F.when(common(low, 2 * size - 1) >= n, F.array_max(made))
+
+        near = F.filter("anchors", lambda x: x["w"].isin(mine[: len(mine) - n + 1]))
+        found = F.filter(F.transform(near, best), lambda m: m["c"] >= n)
+        return F.array_distinct(F.transform(found, lambda m: F.struct(F.get("line_at", -m["a"]).alias("line"), F.lit(t).alias("template"), (m["c"] / F.lit(float(len(mine)))).alias("containment"))))
+
     pairs = F.filter(
         F.flatten(F.transform("lines", lambda line, k: F.array(*(F.struct(k.alias("line"), F.lit(t).alias("template"), match(t, line).alias("containment")) for t in range(len(sets)))))),
         lambda x: x["containment"].isNotNull(),
     )
+    pairs = F.concat(pairs, F.when(F.size("anchors") > 0, F.concat(*(runs(t) for t in range(len(sets))))).otherwise(F.array().cast("array<struct<line:int,template:int,containment:double>>")))
     names = F.array(*(F.lit(label) for label, _ in sets))
     base = F.array(*(F.when(spaced.contains(s), F.lit(phrases[p])) for p, s in padded.items()))
     base = F.array_sort(F.array_distinct(F.array_compact(base)))
