@@ -156,7 +156,8 @@ _add("find_required_context", lambda s, d: find(_columns(_keys(s, d), text=F.con
 _add("find_adjacent_matricula", lambda s, d: find(_columns(_keys(s, d), text=F.concat(F.when(F.pmod(F.col("k"), 3) == 0, "matrícula nº ").when(F.pmod(F.col("k"), 3) == 1, "matricula do aluno ").otherwise("imovel "), F.col("k").cast("string"), F.when(F.pmod(F.col("k"), 3) == 2, " no registro de imoveis").otherwise(" fim"))), entities=["BR_MATRICULA_IMOVEL"]).select("k", "value", "score"), f"SELECT k, k::VARCHAR AS value, 0.4 AS score FROM ({_K}) WHERE k % 3 != 1 AND k > 0")
 _add("find_embedded", lambda s, d: find(_columns(_keys(s, d), text=F.concat(F.when(F.pmod(F.col("k"), 2) == 0, "cpf ").otherwise("registro "), "00000000000000", synth.cpf(F.col("k")))), entities=["BR_CPF"]).select("k").distinct(), _CPF + " SELECT k FROM val WHERE k % 2 = 0")
 _add("find_evaded", lambda s, d: find(_columns(_keys(s, d), text=F.concat("cpf ", _then(synth.cpf(F.col("k")), lambda v: F.concat(F.substring(v, 1, 3), "​", F.substring(v, 4, 8))))), entities=["BR_CPF"]).select("k", "start", "end", "score"), _CPF + ' SELECT k, 4::INT AS start, 16::INT AS "end", 0.95 AS score FROM val')
-_add("find_card_documents", lambda s, d: find(table(s, d, "documents").select("doc_id", "text"), entities=["BR_CARTAO"]).where("pattern = 'cartao_16'").groupBy("doc_id").agg(SF.count("*").alias("n")), None)
+_add("find_card_documents", lambda s, d: find(table(s, d, "documents").select("doc_id", "text"), entities=["BR_CARTAO"]).groupBy("doc_id").agg(SF.count("*").alias("n")), None)
+_add("find_documents", lambda s, d: find(table(s, d, "documents").select("doc_id", "text")))
 _add("find_phone_spans", lambda s, d: _columns(table(s, d, "documents").select("doc_id", "text"), n=F.size(spans(F.col("text"), r"[0-9]{3}-[0-9]{4}")).cast("bigint")).drop("text"), "SELECT doc_id, len(regexp_extract_all(text, '[0-9]{3}-[0-9]{4}'))::BIGINT AS n FROM documents")
 _add("sixteen_digit_spans", lambda s, d: _columns(table(s, d, "documents").select("doc_id", "text"), x=spans(F.col("text"), "[0-9]{16}")).select("doc_id", SF.explode("x").alias("x")).select("doc_id", "x.start", "x.end"), """SELECT doc_id, (list_sum(list_transform(g[1:i], lambda x: length(x))) + 16 * (i - 1))::INT AS start, (list_sum(list_transform(g[1:i], lambda x: length(x))) + 16 * i)::INT AS "end" FROM (SELECT doc_id, g, unnest(range(1, len(g))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '[0-9]{16}') AS g FROM documents))""")
 
@@ -226,7 +227,7 @@ _add("char_kappa", lambda s, d: evaluate.char_kappa(_spans(s, d, F.lit(0)), _spa
 _add("html_to_text", lambda s, d: readers.html_to_text(table(s, d, "pages"), keep=["page_id"]))
 _add("paragraphs", lambda s, d: readers.paragraphs(table(s, d, "documents").select("doc_id", "text").withColumn("text", SF.regexp_replace("text", "\n", "\n\n")), min_len=200, max_len=1200).select("doc_id", SF.md5("text").alias("digest")), r"SELECT doc_id, md5(p) AS digest FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS p FROM documents) WHERE length(p) BETWEEN 200 AND 1200")
 _add("matches_per_document", lambda s, d: with_matches(_texts(s, d), entities=["BR_CPF", "BR_CARTAO"]).select("k", SF.size("__matches").cast("bigint").alias("n")), _SENT + " SELECT k, ((k % 5 != 0)::INT + (k % 4 = 0)::INT)::BIGINT AS n FROM t")
-_add("find_all", lambda s, d: find(_texts(s, d)).where("entity IN ('BR_CPF', 'BR_CARTAO')").select("k", "entity", "value"))
+_add("find_all", lambda s, d: find(_texts(s, d)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
