@@ -6,6 +6,9 @@ are labelled good, one over all documents. A document's log importance weight
 is the sum over its n-grams of log(target / raw). Documents are drawn without
 replacement by Gumbel top-k: each gets its weight plus Gumbel noise (from a
 hash of its id and text, so a rerun draws the same), and the k largest stay.
+The weight in the key is the one per n-gram (length-normalised, not the sum) and
+the noise is ``TEMPERATURE`` / sqrt(n-grams) times standard Gumbel (about 0.001
+for 300 n-grams), so the draw is nearly a fixed cut on the normalised weight.
 ``k`` is counted, not given: the number of documents whose weight per n-gram
 reaches a threshold, which is set on the labelled documents that are held out
 from the fit (half of them, by a hash). Of the cuts at the quantiles 1 -
