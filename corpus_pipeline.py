@@ -3,14 +3,18 @@
 Each stage is (name, function of (spark, docs, sf_dir)); ``run`` applies them to
 ``documents``, each on the written result of the one before. All but the last
 return the columns of ``documents``.
+
+Cases: a null text counts as an empty one, which the quality rules reject; repeated
+rows are copies, of which near_dedup leaves one; rows that share an id with different
+texts are judged each; an empty table gives an empty result; other columns of
+``documents``, whatever their names, are carried to the stage before packing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velum.functions import session
-from velum.functions.session import materialise, table
+from velum.functions.session import drop_tables, materialise, scratch, table
 from velum.llm import op5_simhash, op6_rules, op8_pii, op9_packing, op10_classifier
 
 
@@ -39,30 +43,19 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op9_packing.pack_documents(docs)
 
 
-_earlier: list[str] = []
-
-
-def _tidy(stage):
-    """The stage, which first drops the tables of the stage before: that one's result is written when the next begins."""
-
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        session.drop_tables(spark, _earlier)
-        begin = len(session.written)
-        out = stage(spark, docs, sf_dir)
-        _earlier[:] = session.written[begin:]
-        return out
-
-    return run_stage
-
-
-STAGES = [(f.__name__, _tidy(f)) for f in (quality_rules, quality_classifier, near_dedup, pii, packing)]
+STAGES = [(f.__name__, f) for f in (quality_rules, quality_classifier, near_dedup, pii, packing)]
 
 #: Expectation-maximisation, trained models and connected components have no SQL form here; the stages are tested one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's input and its own tables are dropped once its result is written."""
+    docs, earlier = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        written: list[str] = []
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), name, written)
+        drop_tables(spark, earlier)
+        earlier = written
     return STAGES[-1][1](spark, docs, sf_dir)
