@@ -135,23 +135,48 @@ def replay(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarra
 
 
 class Encoder:
-    """Texts to ids by pieces: each distinct piece is encoded once and remembered by its hash."""
+    """Texts to ids by pieces: each distinct piece is encoded once and remembered with its characters.
 
-    def __init__(self, encode_words, with_text: bool = False):
+    Pieces are looked up by hash and then compared character by character, so a
+    piece never gets the ids of another one that shares its hash.
+    """
+
+    def __init__(self, encode_words):
         """encode_words: distinct pieces as bytes to (flat ids, offsets)."""
-        self.encode_words, self.with_text = encode_words, with_text
+        self.encode_words = encode_words
         self._clear()
 
     def _clear(self) -> None:
         self.known = tk.HashTable()
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.chars, self.char_offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Rows for these pieces, in their order."""
+        spans = [cps[s:e] for s, e in zip(start.tolist(), end.tolist())]
+        ids, offsets = self.encode_words([x.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace") for x in spans])
+        self.ids = np.concatenate([self.ids, ids])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
+        self.chars = np.concatenate([self.chars, *spans])
+        self.char_offsets = np.concatenate([self.char_offsets, self.char_offsets[-1] + np.cumsum(end - start)])
+
+    def _strange(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Pieces whose characters are not those of their row."""
+        lengths = ends - starts
+        same = self.char_offsets[row + 1] - self.char_offsets[row] == lengths
+        fit = np.flatnonzero(same)
+        where, counts = tk.expand(self.char_offsets, row[fit])
+        own = cps if len(fit) == len(row) else cps[np.repeat(starts[fit] - (np.cumsum(counts) - counts), counts) + np.arange(len(where))]
+        if len(where):
+            same[fit] = np.logical_and.reduceat(self.chars[where] == own, np.cumsum(counts) - counts)
+        return np.flatnonzero(~same)
 
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(starts of pieces, where each text's pieces begin, row of each piece in ids/offsets, begins of texts)."""
         cps, begins = tk.code_points(texts)
         starts = tk.bpe_pieces(cps, begins)
         ends = np.append(starts[1:], len(cps))[: len(starts)]
-        h = tk.span_hash(tk.prefix_hash(cps), starts, ends)
+        h = tk.span_hash(cps, starts, ends)
         if self.known.n > MAX_PIECES:
             self._clear()
         row = self.known.find(h)
@@ -159,12 +184,14 @@ class Encoder:
         if len(new):
             keys, first = np.unique(h[new], return_index=True)
             at = new[first]
-            words = [cps[s:e].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-            ids, offsets = self.encode_words(words)
+            self._learn(cps, starts[at], ends[at])
             self.known.add(keys)
-            self.ids = np.concatenate([self.ids, ids])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
             row = self.known.find(h)
+        strange = self._strange(cps, starts, ends, row)
+        if len(strange):  # each gets a row of its own, which no hash leads to
+            row[strange] = self.known.n + np.arange(len(strange))
+            self._learn(cps, starts[strange], ends[strange])
+            self.known.n += len(strange)
         return starts, np.searchsorted(starts, begins), row, begins
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -65,7 +65,7 @@ def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     after = np.zeros(n, bool)
     after[:-1] = solid[1:] & ~first[1:]
     end = np.flatnonzero(solid & ~after) + 1
-    h = tk.span_hash(tk.prefix_hash(cps), start, end)
+    h = tk.span_hash(cps, start, end)
     owner = np.searchsorted(begins, start, side="right") - 1
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
     two = np.flatnonzero(owner[1:] == owner[:-1])

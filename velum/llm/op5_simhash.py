@@ -11,12 +11,13 @@ are compared by brute force. Filters are repeated until a pair at the
 similarity threshold shares a list with probability ``RECALL``; their number and
 strength follow from the number of nodes (lists of about ``LIST_ROWS`` at 50,000).
 
-Candidates are verified on the exact shingle sets. To stay clear of all pairs
-within a group, a pass emits only a few nearest candidates per node and only
-between different components; nodes with more go to the next pass with the
-components known by then, and the last pass emits whatever is left, without a
-limit. Lists that one group crowds are cut into parts, and in the last pass
-parts of one and the same component are never compared with each other.
+Candidates are verified on the exact shingle sets, which are made of the texts
+of the nodes in a pair only. To stay clear of all pairs within a group, the
+first pass emits the ``LIMIT`` nearest candidates of each node in each list. The
+second pass has no limit but compares different components only: in the lists
+of the nodes that had more candidates, and in all rows of crowded lists, which
+one group has made much longer than foreseen (the first pass compares those in
+parts). Parts of one and the same component are never compared again.
 
 Cases: words are runs of ASCII letters and digits and of non-ASCII characters
 other than white space, lower-cased; a text of fewer than five words is one
@@ -24,6 +25,8 @@ shingle; a text without words stands for itself (null and empty texts are equal)
 Repeated rows and ids are allowed: rows are tied to classes by their sets. An
 empty table gives an empty result. ``class_id`` is the smallest doc_id of the
 class (null ids count only if the class has no other). Texts are read whole.
+Columns other than id and text don't matter to ``classes`` and stay as they are
+in ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,23 +38,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.functions.session import materialise, table
+from velum.functions.session import drop_tables, materialise, table
 from velum.llm import arrow
 from velum.llm import textkernel as tk
 
 WORDS, SIMILARITY, BITS, RECALL = 5, 0.8, 256, 0.99
-LIST_ROWS, PART_ROWS, SEED, INNER = 800, 2048, 5, 0.7
+LIST_ROWS, SEED, INNER, LIMIT = 800, 5, 0.7, 4
+#: A list is crowded from so many times the foreseen length on; it is compared in parts of that length.
+CROWDED, PART_ROWS = 4, 2048
 #: Hamming distance up to which candidates are verified: at similarity 0.8 the mean is 39 and the deviation 5.7; short sets scatter more.
 NEAR, NEAR_SHORT, SHORT = 57, 78, 30
-#: The same for the first half of the bits, with four deviations: what goes beyond is not looked at further.
-HALF_NEAR, HALF_SHORT = 36, 44
+#: The same for the first half and the first quarter of the bits, with four deviations: what goes beyond is not looked at further.
+HALF_NEAR, HALF_SHORT, QUARTER_NEAR, QUARTER_SHORT = 36, 44, 22, 27
 #: Bytes of shingle sets that meet in one task, about.
 SET_BYTES = 24 << 20
-LIMITS = (3, 24, None)
+#: Edges that one task joins to components at most, and nodes that a task holds meanwhile.
+EDGES, HELD = 300_000, 300_000
+#: Largest filter (bits) of the documents whose sets are needed; a fuller one lets more through, and the join drops those.
+FILTER_BITS = 1 << 27
 
 
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes of each text, sorted; where each text's begin)."""
+def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingle hashes of each text, sorted; an independent second hash of each; where each text's begin)."""
     cps, begins = tk.code_points([t.lower() for t in texts])
     n, k = len(cps), len(texts)
     ascii_word = (cps >= 48) & (cps <= 57) | (cps >= 97) & (cps <= 122)
@@ -62,43 +70,46 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     before[1:], after[:-1] = solid[:-1], solid[1:]
     start = np.flatnonzero(solid & (first[:n] | ~before))
     end = np.flatnonzero(solid & (first[1:] | ~after)) + 1
-    prefix = tk.prefix_hash(cps)
-    words = tk.span_hash(prefix, start, end)
     cuts = np.searchsorted(start, begins)
     counts = np.diff(cuts)
     owner = np.repeat(np.arange(k), counts)
+    few = np.flatnonzero(counts < WORDS)
+    whole = owner[: max(0, len(start) - WORDS + 1)] == owner[WORDS - 1 :]
+    lanes = []
     with np.errstate(over="ignore"):
-        five = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
-        for j in range(WORDS):
-            five = tk._mixed(five + words[j : len(words) - WORDS + 1 + j] + np.uint64(j)) if len(five) else five
-        whole = (owner[: len(five)] == owner[WORDS - 1 :]) if len(five) else np.zeros(0, bool)
-        few = np.flatnonzero(counts < WORDS)
-        # few words: all of them at once; none: the raw text
-        single = np.zeros(len(few), np.uint64)
-        for i, t in enumerate(few.tolist()):
-            h = np.uint64(counts[t] + 77)
-            for w in words[cuts[t] : cuts[t + 1]]:
-                h = tk._mixed(np.array([h + w], np.uint64))[0]
-            single[i] = h if counts[t] else tk.span_hash(prefix, begins[t : t + 1], begins[t + 1 : t + 2])[0] ^ np.uint64(0xABCDEF)
-    h = np.concatenate([five[whole], single])
-    of = np.concatenate([owner[: len(five)][whole], few])
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
+        for lane in range(2):
+            words = tk.span_hash(cps, start, end, lane)
+            five = np.zeros(len(whole), np.uint64)
+            for j in range(WORDS if len(five) else 0):
+                five = tk._mixed(five + words[j : len(words) - WORDS + 1 + j] + np.uint64(j))
+            # few words: all of them at once; none: the raw text
+            single = np.zeros(len(few), np.uint64)
+            for i, t in enumerate(few.tolist()):
+                h = np.array([counts[t] + 77], np.uint64)
+                spans = words[cuts[t] : cuts[t + 1]] if counts[t] else tk.span_hash(cps, begins[t : t + 1], begins[t + 1 : t + 2], lane) ^ np.uint64(0xABCDEF) if begins[t + 1] > begins[t] else ()
+                for w in spans:
+                    h = tk._mixed(h + w)
+                single[i] = h[0]
+            lanes.append(np.concatenate([five[whole], single]))
+    of = np.concatenate([owner[: len(whole)][whole], few])
+    order = np.lexsort((lanes[0], of))
+    h, g, of = lanes[0][order], lanes[1][order], of[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    h, of = h[fresh], of[fresh]
-    return h, np.searchsorted(of, np.arange(k + 1))
+    return h[fresh], g[fresh], np.searchsorted(of[fresh], np.arange(k + 1))
 
 
-def fingerprints(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set signatures, n x 2 uint64; SimHashes, n x 4 uint64)."""
+def signatures(h: np.ndarray, g: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The identity of each set, n x 2 uint64: sums over the two hashes, so 128 bits of the words themselves."""
+    with np.errstate(over="ignore"):
+        return np.stack([np.add.reduceat(tk._mixed(x + np.uint64(0x1234567)), cuts[:-1]) for x in (h, g)], axis=1) if len(cuts) > 1 else np.zeros((0, 2), np.uint64)
+
+
+def fingerprints(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """SimHashes, n x 4 uint64."""
     n = len(cuts) - 1
     sums = np.zeros((n, BITS), np.int32)
-    sig = np.zeros((n, 2), np.uint64)
     with np.errstate(over="ignore"):
-        for c in range(2):
-            mixed = tk._mixed(h + np.uint64(0x1234567 * (c + 1)))
-            sig[:, c] = np.add.reduceat(mixed, cuts[:-1])
         at = 0
         while at < n:  # about 64k shingles at once
             to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + 65536, side="right")) - 1)
@@ -110,7 +121,7 @@ def fingerprints(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     twice, size = 2 * sums, np.diff(cuts)[:, None]
     tie = (tk._mixed(np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(bool)
     bits = np.where(twice == size, tie, twice > size)
-    return sig, np.packbits(bits, axis=1).view(np.uint64).reshape(n, 4)
+    return np.packbits(bits, axis=1).view(np.uint64).reshape(n, 4)
 
 
 def _bytes(a: np.ndarray) -> pa.Array:
@@ -120,18 +131,22 @@ def _bytes(a: np.ndarray) -> pa.Array:
 
 
 def _from_bytes(column, width: int) -> np.ndarray:
+    """Rows of a binary column, each of ``width`` 64-bit numbers."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width)
+    if not len(column):
+        return np.zeros((0, width), np.uint64)
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64).reshape(-1, width)
 
 
 def sign(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` with sig (binary, the set's identity), fp (binary, SimHash) and n_shingles."""
 
     def run(texts):
-        h, cuts = shingles(texts)
-        sig, fp = fingerprints(h, cuts)
-        return [_bytes(sig), _bytes(fp), pa.array(np.diff(cuts), pa.int64())]
+        h, g, cuts = shingles(texts)
+        return [_bytes(signatures(h, g, cuts)), _bytes(fingerprints(h, cuts)), pa.array(np.diff(cuts), pa.int64())]
 
     return arrow.add_columns(docs, text_col, "sig binary, fp binary, n_shingles long", run, keep)
 
@@ -159,8 +174,8 @@ class Filters:
     """The random filters of both levels. Their number follows from the number of nodes and the recall."""
 
     def __init__(self, n: int):
-        rows = LIST_ROWS * max(0.5, math.sqrt(n / 50_000))  # lists lengthen slowly, or their number would
-        share = min(1.0, rows / max(1, n))  # of the nodes that a list holds
+        self.rows = LIST_ROWS * max(0.5, math.sqrt(n / 50_000))  # lists lengthen slowly, or their number would
+        share = min(1.0, self.rows / max(1, n))  # of the nodes that a list holds
         self.one = share >= 1
         level = math.sqrt(share)
         self.z = _quantile(level) if not self.one else -math.inf
@@ -171,67 +186,88 @@ class Filters:
         outer = math.log(1 / (1 - RECALL)) / (1 - math.exp(-INNER))
         self.outer = 1 if self.one else math.ceil(outer / (level * both))
         self.inner = 1 if self.one else math.ceil(INNER / (level * both))
-        self.rng_seed = SEED
+        self.seed, self.crowded_rows = SEED, max(PART_ROWS, math.ceil(CROWDED * self.rows))
+
+    def _drawn(self, a: int) -> tuple[np.random.Generator, np.ndarray, np.ndarray]:
+        rng = np.random.default_rng([self.seed, a])
+        strip = rng.permutation(BITS)
+        return rng, strip, rng.integers(0, 2, BITS // 2).astype(np.float32) * 2 - 1
 
     def lists(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(list key, row) of every list that a fingerprint is in."""
-        if self.one:
+        """(list, row) of every list that a fingerprint is in."""
+        if self.one or not len(fp):
             return np.zeros(len(fp), np.int64), np.arange(len(fp))
-        rng = np.random.default_rng(self.rng_seed)
-        x = (np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1).astype(np.float32) * 2 - 1) if len(fp) else np.zeros((0, BITS), np.float32)
+        x = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1).astype(np.float32) * 2 - 1
         half, keys, rows = BITS // 2, [], []
         limit = np.float32(self.z * math.sqrt(half))
-        for a in range(self.outer):
-            strip = rng.permutation(BITS)
-            first = rng.integers(0, 2, half).astype(np.float32) * 2 - 1
-            second = rng.integers(0, 2, (half, self.inner)).astype(np.float32) * 2 - 1
-            # weights of ties are spread by the pattern: a half step breaks none
-            into = np.flatnonzero(x[:, strip[:half]] @ first > limit)
-            r, b = np.nonzero(x[into][:, strip[half:]] @ second > limit)
-            keys.append(a * self.inner + b)
-            rows.append(into[r])
+        for at in range(0, self.outer, 256):
+            drawn = [self._drawn(a) for a in range(at, min(at + 256, self.outer))]
+            first = np.zeros((BITS, len(drawn)), np.float32)  # patterns, 0 off their strip
+            for k, (_, strip, pattern) in enumerate(drawn):
+                first[strip[:half], k] = pattern
+            hits = (x @ first > limit).T
+            for k, (rng, strip, _) in enumerate(drawn):
+                into = np.flatnonzero(hits[k])
+                second = np.zeros((BITS, self.inner), np.float32)
+                second[strip[half:]] = rng.integers(0, 2, (half, self.inner)).astype(np.float32) * 2 - 1
+                r, b = np.nonzero(x[into] @ second > limit)
+                keys.append((at + k) * self.inner + b)
+                rows.append(into[r])
         return np.concatenate(keys).astype(np.int64), np.concatenate(rows)
 
 
-def candidates(sig: np.ndarray, fp: np.ndarray, size: np.ndarray, comp: np.ndarray, limit: int | None, other: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left rows, right rows of candidate pairs, rows that had more than ``limit``). other: pairs only from rows before it to rows from it on."""
-    m = len(fp)
-    left, right, more = [], [], []
-    cols = np.arange(m) if other is None else np.arange(other, m)
-    upto = m if other is None else other
-    half = HALF_SHORT if len(size) and size.min() < SHORT else HALF_NEAR
-    words = [np.ascontiguousarray(fp[:, c]) for c in range(4)]
-    for at in range(0, upto, 256):
-        to = min(at + 256, upto)
-        d = np.bitwise_count(words[0][at:to, None] ^ words[0][None, cols])
-        d += np.bitwise_count(words[1][at:to, None] ^ words[1][None, cols])
-        r, k = np.nonzero(d <= half)
-        i, j = at + r, cols[k]
-        dist = d[r, k].astype(np.int64) + np.bitwise_count(words[2][i] ^ words[2][j]) + np.bitwise_count(words[3][i] ^ words[3][j])
-        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        ok = (i != j) & (small >= SIMILARITY * large - 1e-9) & (dist <= np.where(large < SHORT, NEAR_SHORT, NEAR)) & (comp[i] != comp[j]).any(axis=1)
-        if limit is None and other is None:
-            ok &= i < j
+def candidates(node: np.ndarray, comp: np.ndarray | None, limit: int | None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left rows, right rows of candidate pairs, rows that had more than ``limit``).
+
+    node: n x 7, identity, SimHash and number of shingles. comp: pairs only of
+    different ones. side: pairs only of rows with side 0 and rows with side 1.
+    Rows are sorted by the size of their sets, so that only sizes within the
+    similarity are compared at all.
+    """
+    order = np.argsort(node[:, 6], kind="stable")
+    words, size = [np.ascontiguousarray(node[order, 2 + c]) for c in range(4)], node[order, 6].astype(np.int64)
+    m, left, right, more = len(order), [], [], []
+    low, high = np.searchsorted(size, SIMILARITY * size - 1e-9), np.searchsorted(size, size / SIMILARITY + 1e-9, side="right")
+    at = 0
+    while at < m:
+        to = min(m, at + max(16, min(256, 2_000_000 // max(1, int(high[min(m, at + 256) - 1] - low[at])))))
+        a, b = (int(low[at]) if limit is not None else at), int(high[to - 1])
+        short = size[at] < SHORT
+        d = np.bitwise_count(words[0][at:to, None] ^ words[0][None, a:b])
+        r, k = np.nonzero(d <= (QUARTER_SHORT if short else QUARTER_NEAR))
+        i, j, dist = at + r, a + k, d[r, k].astype(np.int16)
+        ok = i < j if limit is None else i != j
+        i, j, dist = i[ok], j[ok], dist[ok]
+        for words_to, near, near_short in ((1, HALF_NEAR, HALF_SHORT), (2, NEAR, NEAR_SHORT), (3, NEAR, NEAR_SHORT)):
+            dist = dist + np.bitwise_count(words[words_to][i] ^ words[words_to][j])
+            ok = dist <= np.where(np.maximum(size[i], size[j]) < SHORT, near_short, near)
+            i, j, dist = i[ok], j[ok], dist[ok]
+        ok = np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]) - 1e-9
+        i, j = order[i], order[j]
+        if comp is not None:
+            ok &= (comp[i] != comp[j]).any(axis=1)
+        if side is not None:
+            ok &= side[i] != side[j]
         i, j, dist = i[ok], j[ok], dist[ok]
         if limit is not None and len(i):
-            order = np.lexsort((j, dist, i))
-            i, j = i[order], j[order]
+            by = np.lexsort((j, dist, i))
+            i, j = i[by], j[by]
             rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
             more.append(np.unique(i[rank >= limit]))
             i, j = i[rank < limit], j[rank < limit]
         left.append(i)
         right.append(j)
+        at = to
     cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
     return cat(left), cat(right), cat(more)
 
 
-_NODE = "sig binary, fp binary, n_shingles long, comp binary"
 _PAIRS = "a binary, b binary"
 
 
-def _emit(sig, left, right, more) -> list[pa.RecordBatch]:
+def _emit(sig: np.ndarray, left: np.ndarray, right: np.ndarray, more: np.ndarray) -> list[pa.RecordBatch]:
     a, b = sig[left], sig[right]
-    swap = np.array([x.tobytes() > y.tobytes() for x, y in zip(a, b)], bool)
+    swap = (a[:, 0] > b[:, 0]) | (a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1])
     a[swap], b[swap] = b[swap], a[swap].copy()
     out = [pa.RecordBatch.from_arrays([_bytes(a), _bytes(b)], names=["a", "b"])] if len(a) else []
     if len(more):
@@ -239,135 +275,130 @@ def _emit(sig, left, right, more) -> list[pa.RecordBatch]:
     return out
 
 
-def _listed(nodes: DataFrame, filters: Filters, crowded: dict[int, int]) -> DataFrame:
-    """A row for each node and list: list, part, and the node. crowded: parts of the lists that need more than one."""
+#: Bits of a key that number the parts of a list.
+_PART = 20
+
+
+def _listed(nodes: DataFrame, filters: Filters, crowded: dict[int, int] | None = None) -> DataFrame:
+    """A row for each node and list: key (list and part), node (sig, fp, n_shingles) and, if ``nodes`` has it, comp.
+
+    crowded: the parts of the lists that need more than one. If ``nodes`` has the
+    flag ``again``, the rows of crowded lists, and of the others only those flagged; no parts.
+    """
+    second = "again" in nodes.columns
+    carried = ["comp"] if second else []
 
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 b = batch.slice(at, 4096)
-                keys, rows = filters.lists(_from_bytes(b.column("fp"), 4))
-                sig = _from_bytes(b.column("sig"), 2)
-                parts = np.zeros(len(keys), np.int32)
-                if crowded:
+                fp, sig = _from_bytes(b.column("fp"), 4), _from_bytes(b.column("sig"), 2)
+                keys, rows = filters.lists(fp)
+                if second:
+                    wanted = np.isin(keys, list(crowded)) | np.asarray(b.column("again"))[rows]
+                    keys, rows = keys[wanted], rows[wanted]
+                parts = np.zeros(len(keys), np.int64)
+                if crowded and not second:
                     many = np.array([crowded.get(k, 1) for k in keys.tolist()], np.uint64)
-                    parts = (tk._mixed(sig[rows, 0]) % many).astype(np.int32)
-                take = pa.array(rows)
+                    with np.errstate(over="ignore"):  # other parts in each list
+                        parts = (tk._mixed(sig[rows, 0] + keys.astype(np.uint64)) % many).astype(np.int64)
+                node = np.concatenate([sig, fp, np.asarray(b.column("n_shingles")).astype(np.uint64)[:, None]], axis=1)
                 for c in range(0, len(keys), 50_000):
-                    t = take[c : c + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[c : c + 50_000]), pa.array(parts[c : c + 50_000]), *(b.column(x).take(t) for x in ("sig", "fp", "n_shingles", "comp"))], names=["list", "part", "sig", "fp", "n_shingles", "comp"])
+                    r = rows[c : c + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[c : c + 50_000] << _PART | parts[c : c + 50_000]), _bytes(node[r]), *(b.column(x).take(pa.array(r)) for x in carried)], names=["key", "node", *carried])
 
-    return nodes.mapInArrow(run, f"list long, part int, {_NODE}")
+    return nodes.mapInArrow(run, "key long, node binary" + ", comp binary" * second)
 
 
 def _crowded(nodes: DataFrame, filters: Filters, n: int) -> dict[int, int]:
-    """Lists that a sample of 20,000 nodes at most shows to be long, and in how many parts to cut them. Only balances load."""
+    """Lists that a sample of 20,000 nodes, about, shows to be far longer than foreseen, and in how many parts to cut them.
+
+    A balance of load only: rows of any list are compared. Only such lists reach the driver.
+    """
     if filters.one:
-        return {0: -(-n // PART_ROWS)} if n > PART_ROWS else {}
-    p = min(1.0, 20_000 / max(1, n))
-    rows = nodes.where(F.pmod(F.xxhash64("sig", F.lit(3)), F.lit(1 << 30)) < int(p * (1 << 30))).select("fp").limit(40_000).collect()
-    if not rows:
         return {}
-    keys, _ = filters.lists(np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.uint64).reshape(-1, 4))
-    lists, seen = np.unique(keys, return_counts=True)
-    need = np.ceil(seen / p / PART_ROWS).astype(int)
-    hot = (need > 1) & (seen >= 8)
-    return dict(zip(lists[hot].tolist(), need[hot].tolist()))
+    p = min(1.0, 20_000 / max(1, n))
+    sample = nodes.where(F.pmod(F.xxhash64("sig", F.lit(3)), F.lit(1 << 30)) < int(p * (1 << 30)) + 1)
+    seen = _listed(sample, filters).groupBy("key").count().where(F.col("count") >= max(16, filters.crowded_rows * p))
+    return {r["key"] >> _PART: min(math.ceil(r["count"] / p / filters.crowded_rows) + 1, 1 << _PART) for r in seen.collect()}
 
 
-def _search(nodes: DataFrame, filters: Filters, crowded: dict[int, int], limit: int) -> DataFrame:
-    """Candidate pairs (a, b) inside the parts of the lists; (a, null) for nodes that have more than these."""
-    split = set(crowded)
+def _search(nodes: DataFrame, filters: Filters, crowded: dict[int, int]) -> DataFrame:
+    """The LIMIT nearest candidates (a, b) of each node in each part of a list; (a, null) for nodes that have more."""
+    most, limit = 4 * filters.crowded_rows, LIMIT
 
     def part(batches):
-        rest: list[pa.RecordBatch] = []
-
-        def done(t: pa.Table):
-            sig = _from_bytes(t["sig"], 2)
-            left, right, more = candidates(sig, _from_bytes(t["fp"], 4), t["n_shingles"].to_numpy(), _from_bytes(t["comp"], 2), limit)
-            if t["list"][0].as_py() in split:
-                more = np.arange(len(sig))
-            return _emit(sig, left, right, more)
-
-        def groups(t: pa.Table, last: bool):
-            """Whole groups of a sorted table (and what follows the last boundary, unless it is the last); long ones in pieces."""
-            key = np.stack([t["list"].to_numpy(), t["part"].to_numpy().astype(np.int64)])
-            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            ends = [0, *cut.tolist()] + ([len(t)] if last else [])
-            return [(a, b) for a, b in zip(ends, ends[1:])], ends[-1]
+        def compared(node):
+            return _emit(node[:, :2], *candidates(node, None, limit))
 
+        keys, nodes_, torn = np.zeros(0, np.int64), np.zeros((0, 7), np.uint64), None
         for batch in batches:
-            rest.append(batch)
-            if sum(map(len, rest)) < 20_000:
+            keys = np.concatenate([keys, np.asarray(batch.column("key"))])
+            nodes_ = np.concatenate([nodes_, _from_bytes(batch.column("node"), 7)])
+            if len(keys) < 20_000:
                 continue
-            t = pa.Table.from_batches(rest)
-            spans, at = groups(t, False)
-            if at == 0 and len(t) > 8 * PART_ROWS:  # a part longer than foreseen: in pieces; its nodes go on to the next pass
-                for a in range(0, len(t), PART_ROWS):
-                    piece = t.slice(a, PART_ROWS)
-                    sig = _from_bytes(piece["sig"], 2)
-                    left, right, _ = candidates(sig, _from_bytes(piece["fp"], 4), piece["n_shingles"].to_numpy(), _from_bytes(piece["comp"], 2), limit)
-                    yield from _emit(sig, left, right, np.arange(len(sig)))
-                rest = []
-                continue
-            for a, b in spans:
-                if b - a > 1:
-                    yield from done(t.slice(a, b - a))
-            rest = t.slice(at).combine_chunks().to_batches()
-        if rest:
-            t = pa.Table.from_batches(rest)
-            for a, b in groups(t, True)[0]:
-                if b - a > 1:
-                    yield from done(t.slice(a, b - a))
-
-    listed = _listed(nodes, filters, crowded)
-    return listed.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(part, _PAIRS).distinct()
-
-
-def _search_all(nodes: DataFrame, filters: Filters) -> DataFrame:
-    """All candidate pairs between different components, lists of any size."""
-    listed = materialise(_listed(nodes, filters, {}).drop("part"), "lists")
-    mixed = listed.groupBy("list").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("list")
-    counts = listed.join(mixed, "list", "left_semi").groupBy("list", "comp").count()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            ends = [0, *cuts.tolist()]
+            if not len(cuts) and len(keys) > most:  # longer than the sample told: in pieces, and all its nodes go on
+                torn = int(keys[0])
+                ends.append(len(keys))
+            for a, b in zip(ends, ends[1:]):
+                yield from compared(nodes_[a:b])
+                if keys[a] == torn:
+                    yield from _emit(nodes_[a:b, :2], np.zeros(0, int), np.zeros(0, int), np.arange(b - a))
+            keys, nodes_ = keys[ends[-1] :], nodes_[ends[-1] :]
+        ends = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(ends, ends[1:]):
+            if b > a:
+                yield from compared(nodes_[a:b])
+                if keys[a] == torn:
+                    yield from _emit(nodes_[a:b, :2], np.zeros(0, int), np.zeros(0, int), np.arange(b - a))
+
+    return _listed(nodes, filters, crowded).repartition("key").sortWithinPartitions("key").mapInArrow(part, _PAIRS).distinct()
+
+
+def _search_all(nodes: DataFrame, filters: Filters, crowded: dict[int, int], tables: list[str]) -> DataFrame:
+    """All candidate pairs between different components, in lists of any size. nodes: with comp and again."""
+    listed = materialise(_listed(nodes, filters, crowded), "lists", tables)
+    counts = materialise(listed.groupBy("key", "comp").count(), "counts", tables)
+    mixed = counts.groupBy("key").agg(F.count("*").alias("comps")).where("comps > 1").select("key")
+    counts = counts.join(mixed, "key", "left_semi")
     # a component that crowds a list is cut into parts of its own; the others of a list share parts
-    big = F.col("count") > PART_ROWS
-    shared = counts.where(~big).groupBy("list").agg(F.sum("count").alias("n")).select("list", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("rest_parts"))
-    own = counts.where(big).select("list", "comp", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("own_parts"))
+    rows = F.lit(filters.crowded_rows)
+    big = F.col("count") > rows
+    shared = counts.where(~big).groupBy("key").agg(F.sum("count").alias("n")).select("key", F.ceil(F.col("n") / rows).cast("int").alias("rest_parts"))
+    own = counts.where(big).select("key", "comp", F.ceil(F.col("count") / rows).cast("int").alias("own_parts"))
     empty = F.unhex(F.lit(""))
-    parts = shared.select("list", empty.alias("owner"), F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1)).alias("no")).unionByName(own.select("list", F.col("comp").alias("owner"), F.explode(F.sequence(F.lit(0), F.col("own_parts") - 1)).alias("no")))
+    parts = shared.select("key", empty.alias("owner"), F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1)).alias("no")).unionByName(own.select("key", F.col("comp").alias("owner"), F.explode(F.sequence(F.lit(0), F.col("own_parts") - 1)).alias("no")))
     p, q = parts.alias("p"), parts.alias("q")
     order = F.struct("p.owner", "p.no") <= F.struct("q.owner", "q.no")
     same_owner = (F.col("p.owner") == F.col("q.owner")) & (F.col("p.owner") != empty)
-    grid = p.join(q, F.col("p.list") == F.col("q.list")).where(order & ~same_owner)
-    grid = grid.select(F.col("p.list").alias("list"), F.struct("p.owner", "p.no").alias("x"), F.struct("q.owner", "q.no").alias("y"))
-    rows = listed.join(mixed, "list", "left_semi").join(own, ["list", "comp"], "left").join(shared, "list", "left")
+    grid = p.join(q, F.col("p.key") == F.col("q.key")).where(order & ~same_owner)
+    grid = grid.select(F.col("p.key").alias("key"), F.struct("p.owner", "p.no").alias("x"), F.struct("q.owner", "q.no").alias("y"))
+    rows = listed.join(mixed, "key", "left_semi").join(own, ["key", "comp"], "left").join(shared, "key", "left")
     n_parts = F.coalesce("own_parts", "rest_parts")
-    placed = rows.select("list", F.struct(F.when(F.col("own_parts").isNotNull(), F.col("comp")).otherwise(empty).alias("owner"), F.pmod(F.xxhash64("sig", F.lit(8)), n_parts).cast("int").alias("no")).alias("at"), "sig", "fp", "n_shingles", "comp")
-    cell = F.xxhash64("list", "x", "y")
-    a = placed.join(grid.withColumnRenamed("x", "at").withColumn("x", F.col("at")), ["list", "at"]).select("list", "x", "y", F.lit(0).alias("side"), "sig", "fp", "n_shingles", "comp")
-    b = placed.join(grid.where(F.col("x") != F.col("y")).withColumnRenamed("y", "at").withColumn("y", F.col("at")), ["list", "at"]).select("list", "x", "y", F.lit(1).alias("side"), "sig", "fp", "n_shingles", "comp")
+    owner = F.when(F.col("own_parts").isNotNull(), F.col("comp")).otherwise(empty).alias("owner")
+    placed = rows.select("key", F.struct(owner, F.pmod(F.xxhash64("node", F.lit(8)), n_parts).cast("int").alias("no")).alias("at"), "node", "comp")
+    sides = grid.select("key", F.col("x").alias("at"), "x", "y", F.lit(0).alias("side")).unionByName(grid.where(F.col("x") != F.col("y")).select("key", F.col("y").alias("at"), "x", "y", F.lit(1).alias("side")))
+    cells = placed.join(sides, ["key", "at"]).select(F.xxhash64("key", "x", "y").alias("cell"), "side", "node", "comp")
 
     def compare(t: pa.Table) -> pa.Table:
-        side = t["side"].to_numpy()
-        t = t.take(pa.array(np.argsort(side, kind="stable")))
-        first = int((side == 0).sum())
-        sig = _from_bytes(t["sig"], 2)
-        found = candidates(sig, _from_bytes(t["fp"], 4), t["n_shingles"].to_numpy(), _from_bytes(t["comp"], 2), None, first if first < len(sig) else None)
-        out = _emit(sig, *found)
+        node, side = _from_bytes(t["node"], 7), np.asarray(t["side"])
+        out = _emit(node[:, :2], *candidates(node, _from_bytes(t["comp"], 2), None, side if side.any() else None))
         return pa.Table.from_batches(out) if out else pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
 
-    return a.unionByName(b).withColumn("cell", cell).groupBy("cell").applyInArrow(compare, _PAIRS).distinct()
+    return cells.groupBy("cell").applyInArrow(compare, _PAIRS).distinct()
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, tables: list[str]) -> DataFrame:
     """The pairs whose sets have a Jaccard similarity of at least SIMILARITY. sets: sig, n, s (binary, sorted uint64).
 
     Pairs meet by component of the candidate graph, many small ones in one cell of about SET_BYTES of sets, so a
     set travels once and not once for each of its pairs; a component beyond SET_BYTES is dealt into blocks, and its
     pairs into cells of two blocks.
     """
-    families = materialise(components(pairs), "families")
-    sized = families.join(sets.select("sig", "n"), "sig").groupBy("comp").agg(F.sum("n").alias("n"))
+    families = materialise(components(pairs, tables), "families", tables)
+    sized = materialise(families.join(sets.select("sig", "n"), "sig").groupBy("comp").agg(F.sum("n").alias("n")), "sized", tables)
     total = 8 * (sized.agg(F.sum("n")).first()[0] or 0)
     bins = max(1, -(-total // SET_BYTES))
     blocks = sized.select("comp", F.ceil(F.col("n") * 8 / F.lit(SET_BYTES)).cast("long").alias("blocks"))
@@ -375,7 +406,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     low, high = F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))
     cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(bins))).otherwise(F.xxhash64("comp", low, high))
     dealt = pairs.join(families.withColumnRenamed("sig", "a"), "a").join(blocks, "comp").select(cell.alias("cell"), "a", "b")
-    dealt = materialise(dealt, "dealt")
+    dealt = materialise(dealt, "dealt", tables)
     needed = dealt.select("cell", F.explode(F.array("a", "b")).alias("sig")).distinct().join(sets, "sig").select("cell", "sig", "s")
 
     def check(p: pa.Table, q: pa.Table) -> pa.Table:
@@ -394,98 +425,143 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.groupBy("cell").cogroup(needed.toDF("at", "sig", "s").groupBy("at")).applyInArrow(check, _PAIRS)
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(sig, comp): the smallest node of each linked node's component, by alternating large-star and small-star rounds."""
-    spark = links.sparkSession
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+def _forest(batches):
+    """Edges (u, v) to stars (node, smallest node of its component among the edges seen); at most HELD nodes are held at once."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x):
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    def stars():
+        pairs = [(x, y) for x in root if (y := find(x)) != x]
+        for c in range(0, len(pairs), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs[c : c + 20_000]], pa.binary()) for i in range(2)], names=["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = find(root.setdefault(u, u) and u), find(root.setdefault(v, v) and v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        if len(root) > 2 * HELD:
+            yield from stars()
+            root.clear()
+    yield from stars()
+
+
+def components(links: DataFrame, tables: list[str]) -> DataFrame:
+    """(sig, comp): the smallest node of each linked node's component.
+
+    Tasks join their own edges to stars; alternating large-star and small-star
+    rounds follow until one task can hold what is left (EDGES), or nothing changes.
+    """
+    stars = "u binary, v binary"
+    edges = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_forest, stars), "edges", tables)
     known = None
-    for _ in range(max_rounds):
-        sym = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(small, "edges")
+    while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state[0] <= EDGES:
+            edges = edges.coalesce(1).mapInArrow(_forest, stars)
+            break
         if state == known:
             break
         known = state
-    return edges.groupBy(F.col("u").alias("sig")).agg(F.min("v").alias("comp")).unionByName(edges.select(F.col("v").alias("sig"), F.col("v").alias("comp")).distinct())
+        sym = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = materialise(sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges", tables)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        edges = materialise(small, "edges", tables)
+    edges = materialise(edges, "stars", tables)
+    return edges.select(F.col("u").alias("sig"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("sig"), F.col("v").alias("comp")).distinct())
+
+
+def _sets(plain: DataFrame, nodes: DataFrame, found: DataFrame, tables: list[str]) -> DataFrame:
+    """sig, n, s: the shingle sets of all nodes that are in a pair.
+
+    Texts are read where they are: a Bloom filter of bounded size over the ids of
+    the documents that stand for these nodes tells which to look at, and what it
+    lets through wrongly falls away in the join by identity.
+    """
+    needed = materialise(found.where("b IS NOT NULL").select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "needed", tables)
+    bits = 1 << max(13, min(FILTER_BITS.bit_length() - 1, (16 * needed.count()).bit_length()))
+    places = lambda h: F.array(*(F.pmod(F.xxhash64(h, F.lit(i)), F.lit(bits)) for i in range(2)))
+    marks = nodes.join(needed, "sig", "left_semi").select(F.explode(places(F.xxhash64("doc_id"))).alias("p"))
+    marks = marks.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toArrow()
+    words = np.zeros(bits >> 6, np.uint64)
+    words[np.asarray(marks["word"])] = np.asarray(marks["bits"]).view(np.uint64)
+    shared = plain.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        for batch in batches:
+            at = np.asarray(batch.column("p").flatten()).reshape(-1, 2)
+            hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=1)
+            for _, texts in arrow.blocks(batch.filter(pa.array(hit)), "text"):
+                h, g, cuts = shingles(texts)
+                yield pa.RecordBatch.from_arrays([_bytes(signatures(h, g, cuts)), arrow.binary_array(cuts * 8, h.view(np.uint8))], names=["sig", "s"])
+
+    made = plain.select(places(F.xxhash64("doc_id")).alias("p"), "text").mapInArrow(run, "sig binary, s binary")
+    one = made.join(needed, "sig", "left_semi").groupBy("sig").agg(F.first("s").alias("s"))
+    return materialise(one.select("sig", (F.length("s") / 8).cast("long").alias("n"), "s"), "sets", tables)
 
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(signed rows: id, sig; sig, class_id and the one row of the class to keep as first_id, first_sig)."""
+    """(rows: doc_id, sig; sig, class_id and the set of the class's first row as first_sig). Both are written tables."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(sign(plain, ["doc_id"]), "signed")
-    nodes = materialise(signed.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles")), "nodes")
+    tables: list[str] = []
+    signed = materialise(sign(plain, ["doc_id"]), "signed", tables)
+    nodes = materialise(signed.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles")), "nodes", tables)
     n = nodes.count()
-    links = comps = sets = None
     if n > 1:
         filters = Filters(n)
-        todo = nodes.select("sig", "fp", "n_shingles", F.col("sig").alias("comp"))
-        for limit in LIMITS:
-            if limit is None:
-                found = materialise(_search_all(todo, filters), "pairs")
-            else:
-                found = materialise(_search(todo, filters, _crowded(todo, filters, n), limit), "pairs")
-            if sets is None:
-                sets = _sets(plain, found, signed)
-            good = materialise(_verify(found.where("b IS NOT NULL"), sets), "links")
-            links = good if links is None else links.unionByName(good)
-            comps = materialise(components(links), "components")
-            more = found.where("b IS NULL").select(F.col("a").alias("sig"))
-            if limit is None or more.isEmpty():
-                break
-            todo = nodes.join(more, "sig", "left_semi").join(comps, "sig", "left").select("sig", "fp", "n_shingles", F.coalesce("comp", "sig").alias("comp"))
-            todo = materialise(todo, "todo")
+        todo = nodes.select("sig", "fp", "n_shingles")
+        crowded = _crowded(todo, filters, n)
+        comps, links, more = _pass(plain, nodes, materialise(_search(todo, filters, crowded), "pairs", tables), None, tables)
+        if crowded or not more.isEmpty():
+            flagged = todo.join(comps, "sig", "left").join(more.withColumn("again", F.lit(True)), "sig", "left").select("sig", "fp", "n_shingles", F.coalesce("comp", "sig").alias("comp"), F.coalesce("again", F.lit(False)).alias("again"))
+            comps, _, _ = _pass(plain, nodes, materialise(_search_all(flagged, filters, crowded, tables), "pairs", tables), links, tables)
     else:
         comps = spark.createDataFrame([], "sig binary, comp binary")
     named = nodes.join(comps, "sig", "left").select("sig", "doc_id", F.coalesce("comp", "sig").alias("comp"))
     first = named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sig")).alias("first"))
-    return signed, named.join(first, "comp").select("sig", F.col("first.doc_id").alias("class_id"), F.col("first.sig").alias("first_sig"))
-
-
-def _sets(plain: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
-    """sig, s: the shingle sets of all nodes that are in a pair or go on to a later pass."""
-    ids = found.select(F.col("a").alias("sig")).unionByName(found.where("b IS NOT NULL").select(F.col("b").alias("sig"))).distinct()
-    # one row of each node stands for it: all have the same set
-    rows = signed.join(ids, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-
-    def run(texts):
-        h, cuts = shingles(texts)
-        sig, _ = _sig_only(h, cuts)
-        return [_bytes(sig), arrow.binary_array(cuts * 8, h.view(np.uint8))]
-
-    some = plain.join(rows.select("doc_id").distinct(), plain["doc_id"].eqNullSafe(rows["doc_id"]), "left_semi")
-    made = arrow.add_columns(some, "text", "sig binary, s binary", run, [])
-    return materialise(made.join(ids, "sig", "left_semi").groupBy("sig").agg(F.first("s").alias("s")).select("sig", (F.length("s") / 8).cast("long").alias("n"), "s"), "sets")
+    named = materialise(named.join(first, "comp").select("sig", F.col("first.doc_id").alias("class_id"), F.col("first.sig").alias("first_sig")), "classes")
+    rows = materialise(signed.select("doc_id", "sig"), "rows")
+    drop_tables(spark, tables)
+    return rows, named
 
 
-def _sig_only(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, None]:
-    sig = np.zeros((len(cuts) - 1, 2), np.uint64)
-    with np.errstate(over="ignore"):
-        for c in range(2):
-            sig[:, c] = np.add.reduceat(tk._mixed(h + np.uint64(0x1234567 * (c + 1))), cuts[:-1])
-    return sig, None
+def _pass(plain: DataFrame, nodes: DataFrame, found: DataFrame, links: DataFrame | None, tables: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(components, all links so far, nodes with more candidates) after the candidates ``found``; what only this pass needs is dropped."""
+    own: list[str] = []
+    pairs = found.where("b IS NOT NULL")
+    good = materialise(_verify(pairs, _sets(plain, nodes, found, own), own), "links", tables)
+    links = good if links is None else links.unionByName(good)
+    comps = materialise(components(links, own), "components", tables)
+    drop_tables(plain.sparkSession, own)
+    return comps, links, found.where("b IS NULL").select(F.col("a").alias("sig"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and class_id (the class's smallest doc_id) of every document."""
-    signed, named = classes(table(spark, sf_dir, "documents"))
-    return signed.join(named, "sig").select("doc_id", "class_id")
+    rows, named = classes(table(spark, sf_dir, "documents"))
+    return rows.join(named, "sig").select("doc_id", "class_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class one row of the smallest doc_id, unchanged."""
-    signed, named = classes(docs)
-    stay = named.where(F.col("sig") == F.col("first_sig")).select(F.col("class_id").alias("__id"))
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    twice = signed.groupBy("doc_id").count().where("count > 1")
-    if twice.isEmpty():
-        return kept
+    rows, named = classes(docs)
+    first = (F.col("sig") == F.col("first_sig")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = rows.join(named, "sig").where(~first).select(F.col("doc_id").alias("__id"))
+        return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
     # repeated ids: of the rows that carry one, those of the class's first set, once
-    keyed = sign(kept.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__t")), ["row"], "__t")
-    firsts = named.where(F.col("sig") == F.col("first_sig")).select("sig").distinct()
+    stay = named.where("sig = first_sig").select(F.col("class_id").alias("__id"))
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    keyed = sign(kept.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("__t")), ["row"], "__t")
+    firsts = named.where("sig = first_sig").select("sig").distinct()
     return keyed.join(firsts, "sig", "left_semi").groupBy("sig").agg(F.first("row").alias("row")).select("row.*")

@@ -2,10 +2,8 @@
 
 A batch of texts is laid end to end as ``uint32`` code points. Character
 classes come from one table lookup, piece boundaries from comparisons of
-neighbouring classes, and piece identities from a polynomial prefix hash
-(mod 2^64, one cumulative sum for the batch), so no Python loop runs per
-character or per word. Two different pieces of one task share a hash with
-probability below n^2 / 2^65 for n distinct pieces.
+neighbouring classes, and piece hashes from sums of mixed (character, place)
+values, so no Python loop runs per character or per word.
 """
 
 from __future__ import annotations
@@ -15,7 +13,7 @@ import regex
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+_LANES = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 _state: dict = {}
 
 
@@ -54,26 +52,6 @@ def _as_tiktoken(table: np.ndarray) -> None:
             table[cp] = OTHER
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """ODD^i and ODD^-i for i < n at least, mod 2^64."""
-    have = _state.get("powers")
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            made = []
-            for base in (_ODD, _INVERSE):
-                out = np.ones(size, np.uint64)
-                k = 1
-                step = base
-                while k < size:  # doubling: out[k:2k] = out[:k] * base^k
-                    out[k : 2 * k] = out[:k] * step
-                    step = np.uint64((int(step) * int(step)) & (2**64 - 1))
-                    k *= 2
-                made.append(out)
-        _state["powers"] = have = tuple(made)
-    return have
-
-
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one array, and the place where each begins (one more entry: the end)."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -81,28 +59,24 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cps, np.concatenate([[0], np.cumsum(lengths)])
 
 
-def prefix_hash(cps: np.ndarray) -> np.ndarray:
-    pw, _ = powers(len(cps) + 1)
-    out = np.zeros(len(cps) + 1, np.uint64)
-    if len(cps):
-        values = _char_values()[cps] if len(cps) else cps
-        np.cumsum(values * pw[: len(cps)], out=out[1:])
-    return out
-
-
-def _char_values() -> np.ndarray:
-    if "values" not in _state:
-        with np.errstate(over="ignore"):
-            _state["values"] = _mixed(np.arange(1, 0x110001, dtype=np.uint64) * _ODD)
-    return _state["values"]
-
-
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the code points in [start, end): equal contents have equal hashes, wherever they stand. Never 0."""
-    _, inverse = powers(len(prefix))
+def span_hash(cps: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of the code points in each [start, end), which are not empty, sorted and apart. Never 0.
+
+    The sum over the span of a mixed value of (character, place in the span). Hashes of
+    two lanes are independent. Equal contents have equal hashes wherever they stand; for
+    different contents see ``Encoder.pieces``, which compares, or take two lanes.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    lengths = end - start
+    offsets = np.cumsum(lengths) - lengths
+    total = int(offsets[-1] + lengths[-1])
+    whole = total == end[-1] - start[0]
+    at = np.arange(total) - np.repeat(offsets, lengths)
+    chars = cps[start[0] : end[-1]] if whole else cps[np.repeat(start, lengths) + at]
     with np.errstate(over="ignore"):
-        raw = (prefix[end] - prefix[start]) * inverse[start]
-        return _mixed(raw + (end - start).astype(np.uint64) * _ODD) | np.uint64(1)
+        x = (at.astype(np.uint64) << np.uint64(21) | chars) * _ODD + _LANES[lane]
+        return _mixed(np.add.reduceat(_mixed(x), offsets) + lengths.astype(np.uint64) * _ODD) | np.uint64(1)
 
 
 def bpe_pieces(cps: np.ndarray, begins: np.ndarray) -> np.ndarray:
