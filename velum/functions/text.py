@@ -11,7 +11,8 @@ DASHES, BLANKS, SLASHES, DOTS = "‐‑‒–—―−﹣－", "    　",
 #: White space as Python's str methods see it; Java's \\s is ASCII only.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 INVISIBLE = r"[\p{Cf}\p{Mn}\x{3164}\x{115f}\x{1160}\x{ffa0}]"
-_SCALARS = [chr(i) for i in (*range(0x80, 0xD800), *range(0xE000, 0x110000))]
+#: Without ideographs, Hangul syllables and private use, which hold no digits and no ASCII letters under accents.
+_SCALARS = [chr(i) for i in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000))]
 
 
 def _swaps() -> dict[str, str]:

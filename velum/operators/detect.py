@@ -1,32 +1,67 @@
-"""find(): candidates, context, evasion and embedded passes, overlap resolution; one row's expression, no shuffle."""
+"""find(): candidates, context, evasion and embedded passes, overlap resolution; one row's expression, no shuffle.
+
+The JVM picks the texts that can hold an identifier at all (one scan for
+digits); only these go, in Arrow batches, to a scanner that works on a whole
+batch at a time: every pattern runs once over the joined texts, check digits
+are column sums over all candidates of an entity, and only candidates that
+pass are looked at one by one. As SQL expressions the same passes took about
+200 times as long: each span became a walk over its text.
+"""
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from bisect import bisect_right
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as SF
 
+from velum.functions import checks
 from velum.functions import sqlx as F
 from velum.functions.sqlx import X
-
-from velum.functions.text import OTHER_DIGITS, fold, invisible_near_digit, let, normalise, strip_invisible, visible_places
+from velum.functions.text import FOLDS, INVISIBLE, OTHER_DIGITS, SWAPS
 from velum.operators.registry import TIERS, Entity
 from velum.operators.registry import entities as registered
 
 MATCH = "struct<entity:string,start:int,end:int,value:string,score:double,tier:string,pattern:string,has_context:boolean,valid_dv:boolean>"
 MATCHES = f"array<{MATCH}>"
 FIELDS = ("entity", "start", "end", "value", "score", "tier", "pattern", "has_context", "valid_dv")
+_ARROW = pa.struct([("entity", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("score", pa.float64()), ("tier", pa.string()), ("pattern", pa.string()), ("has_context", pa.bool_()), ("valid_dv", pa.bool_())])
 SUSPECT_FROM, MAX_CHARS = 0.5, 5_000_000
-MIN_RUN, RUN_CAP, AFTER_REACH = 8, 64, 40
+MIN_RUN, RUN_CAP, AFTER_REACH = 9, 64, 40
 #: How many plain digits the patterns of the entities with a check digit accept.
 DIGITS = {
     "BR_CPF": (("cpf_compact", 11), ("cpf_irregular_punctuation", 11)), "BR_CNPJ": (("cnpj_compact", 14),), "BR_CNS": (("cns_compact", 15),), "BR_NIS": (("nis_compact", 11),), "BR_CNJ": (("cnj_compact", 20),),
     "BR_TITULO_ELEITOR": (("titulo_spaced", 12),), "BR_CNH": (("cnh_compact", 11),), "BR_RENAVAM": (("renavam_11", 11), ("renavam_9", 9)), "BR_CNM": (("cnm_compact", 16),), "BR_CIB": (("cib", 8),),
     "BR_CARTAO": (("cartao_16", 16), ("cartao_amex", 15), ("cartao_compact", 13)),
 }
+_SWAP, _FOLD = ({ord(a): b for a, b in t.items()} for t in (SWAPS, FOLDS))
+
+
+def _ranges(chars: str) -> str:
+    """The characters as ranges of a class, in Java's and Python's notation alike."""
+    out, codes = "", sorted(map(ord, chars))
+    begin = codes[0]
+    for a, b in zip(codes, [*codes[1:], -1]):
+        if b != a + 1:
+            out, begin = out + (chr(begin) if begin == a else f"{chr(begin)}-{chr(a)}"), b
+    return out
+
+
+_ANY_DIGIT = f"[0-9{_ranges(OTHER_DIGITS)}]"
+_DIGIT = re.compile(_ANY_DIGIT)
+_RUN = re.compile(f"(?<![0-9])[0-9]{{{MIN_RUN},}}(?![0-9])")
+_HIDDEN = re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), INVISIBLE)
+_INVISIBLE = regex.compile(_HIDDEN)
+_NEAR = regex.compile(f"(?s){_ANY_DIGIT}.?{_HIDDEN}|{_HIDDEN}.?{_ANY_DIGIT}")
+#: What a text without digits must hold for an entity that can do without them.
+_WORDS_ONLY = re.compile("cib|cadastro imobiliario")
 
 
 def spans(text: X, pattern: str) -> X:
@@ -43,152 +78,220 @@ def spans(text: X, pattern: str) -> X:
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
-def _cut(text: X, start: X, end: X) -> X:
-    lo = F.greatest(start, F.lit(0))
-    return F.substr(text, lo + 1, F.greatest(end - lo, F.lit(0)))
-
-
 def _alternation(words: Iterable[str]) -> str:
-    escaped = (re.sub(r"([.^$*+?{}()\[\]|\\])", r"\\\1", w) for w in sorted(words, key=lambda w: (-len(w), w)))
-    return "(?:" + "|".join(escaped) + ")"
-
-
-def has_context(norm: X, start: X, end: X, spec: Entity) -> X:
-    """Does one of the entity's words stand near [start, end)?"""
-    if spec.before or spec.after:
-        reach = max(map(len, spec.before), default=0) + spec.gap + 3
-        left, right = fold(_cut(norm, start - reach, start)), fold(_cut(norm, end, end + AFTER_REACH))
-        pre = rf"(?<![0-9a-z]){_alternation(spec.before)}[^0-9a-z]{{0,{spec.gap}}}(?:o[^0-9a-z]{{1,2}})?$" if spec.before else r"(?!)"
-        post = rf"^[^0-9a-z]{{0,{spec.gap}}}(?:[a-z]{{1,3}}[^0-9a-z]{{1,2}})?{_alternation(spec.after)}(?![0-9a-z])" if spec.after else r"(?!)"
-        return left.rlike(pre) | right.rlike(post)
-    if not spec.words:
-        return F.lit(False)
-    near = F.concat(fold(_cut(norm, start - spec.window, start)), F.lit(" "), fold(_cut(norm, end, end + spec.window)))
-    return near.rlike(rf"(?<![0-9a-z]){_alternation(spec.words)}(?![0-9a-z])")
+    return "(?:" + "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) + ")"
 
 
-def _match(spec: Entity, text: X, start: X, end: X, pattern: X, context: X, valid: X) -> X:
-    score = F.when(~valid, 0.0).when(context, spec.scores[0]).otherwise(spec.scores[1])
-    fields = {"entity": F.lit(spec.id), "start": start, "end": end, "value": _cut(text, start, end), "score": score, "tier": F.lit(spec.tier), "pattern": pattern, "has_context": context, "valid_dv": valid}
-    return F.struct(*(c.alias(n) for n, c in fields.items()))
+class _Context:
+    """Does one of an entity's words stand near a span?"""
 
-
-def _numbered(k: int):
-    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("p"))
-
-
-def owned_spans(norm: X, spec: Entity) -> X:
-    """array<struct<start, end, p>>: every span that a pattern of the entity hits, with the first pattern that does."""
-    out = None
-    for k, (_, regex, _) in enumerate(spec.patterns):
-        mine = F.transform(spans(norm, regex), _numbered(k))
-        if out is None:
-            out = mine
+    def __init__(self, spec: Entity):
+        self.adjacent = bool(spec.before or spec.after)
+        self.reach = max(map(len, spec.before), default=0) + spec.gap + 3 if self.adjacent else spec.window
+        if self.adjacent:
+            self.before = re.compile(rf"(?<![0-9a-z]){_alternation(spec.before)}[^0-9a-z]{{0,{spec.gap}}}(?:o[^0-9a-z]{{1,2}})?\Z" if spec.before else r"(?!)")
+            self.after = re.compile(rf"[^0-9a-z]{{0,{spec.gap}}}(?:[a-z]{{1,3}}[^0-9a-z]{{1,2}})?{_alternation(spec.after)}(?![0-9a-z])" if spec.after else r"(?!)")
         else:
-            out = let(F.struct(out.alias("a"), mine.alias("b")), lambda x: F.concat(x["a"], F.filter(x["b"], lambda s: ~F.exists(x["a"], lambda o: (o["start"] == s["start"]) & (o["end"] == s["end"])))))
-    return out
-
-
-def candidates(norm: X, text: X, spec: Entity, report_invalid: bool) -> X:
-    """The entity's matches in one text, position order within each pattern."""
-    names = F.array(*(F.lit(n) for n, _, _ in spec.patterns))
-    suspicious = [k for k, (_, _, base) in enumerate(spec.patterns) if base >= SUSPECT_FROM] if spec.tier == "N1" else []
-
-    def judged(s):
-        value = _cut(norm, s["start"], s["end"])
-        valid = F.coalesce(spec.validator(value), F.lit(False)) if spec.validator else F.lit(True)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["p"].alias("p"), valid.alias("valid"))
-
-    def wanted(s):
-        suspect = s["p"].isin(*suspicious) if report_invalid and suspicious else F.lit(False)
-        return s["valid"] | suspect
-
-    seen = F.filter(F.transform(owned_spans(norm, spec), judged), wanted)
-    made = F.transform(seen, lambda s: _match(spec, text, s["start"], s["end"], F.get(names, s["p"]), has_context(norm, s["start"], s["end"], spec), s["valid"]))
-    return F.filter(made, lambda m: m["has_context"] | ~m["valid_dv"]) if spec.required else made
-
-
-def evaded(text: X, specs: list[Entity], report_invalid: bool) -> X:
-    """Matches that appear once invisible characters are taken out, placed in the original text."""
-
-    def inner(plain):
-        def mapped(x):
-            found = F.concat(*(candidates(x["norm"], x["plain"], s, report_invalid) for s in specs))
-            sure = F.filter(found, lambda m: (m["tier"] == "N1") | m["has_context"])
-
-            def back(m):
-                start, end = F.get(x["at"], m["start"]), F.get(x["at"], m["end"] - 1) + 1
-                moved = {"start": start, "end": end, "value": _cut(text, start, end)}
-                return F.struct(*((moved[f] if f in moved else m[f]).alias(f) for f in FIELDS))
-
-            return F.transform(sure, back)
-
-        return let(F.struct(plain.alias("plain"), normalise(plain).alias("norm"), visible_places(text).alias("at")), mapped)
-
-    return F.when(invisible_near_digit(text), let(strip_invisible(text), inner)).otherwise(F.array().cast(MATCHES))
+            self.words = re.compile(rf"(?<![0-9a-z]){_alternation(spec.words)}(?![0-9a-z])" if spec.words else r"(?!)")
+            self.anywhere = re.compile(_alternation(spec.words) if spec.words else r"(?!)")
+
+    def near(self, norm: str, start: int, end: int, first: int, last: int) -> bool:
+        """norm[first:last] is the text that the span is in."""
+        left = norm[max(first, start - self.reach) : start].translate(_FOLD)
+        right = norm[end : min(last, end + (AFTER_REACH if self.adjacent else self.reach))].translate(_FOLD)
+        if self.adjacent:
+            return bool(self.before.search(left) or self.after.match(right))
+        return bool(self.words.search(f"{left} {right}"))
+
+
+@dataclass
+class _Found:
+    spec: Entity
+    start: int  # in the text
+    end: int
+    pattern: str
+    context: bool
+    valid: bool
+    value: str = ""
+
+    @property
+    def score(self) -> float:
+        return 0.0 if not self.valid else self.spec.scores[0] if self.context else self.spec.scores[1]
+
+    def row(self) -> tuple:
+        return self.spec.id, self.start, self.end, self.value, self.score, self.spec.tier, self.pattern, self.context, self.valid
+
+
+def _in_letters(norm: str, start: int, end: int) -> bool:
+    """Does the token around a run of digits hold a letter?"""
+    while start and norm[start - 1].isalnum():
+        start -= 1
+        if norm[start].isalpha():
+            return True
+    while end < len(norm) and norm[end].isalnum():
+        if norm[end].isalpha():
+            return True
+        end += 1
+    return False
+
+
+def _clash(a: _Found, b: _Found) -> bool:
+    return a.start < b.end and b.start < a.end
+
+
+class _Scanner:
+    """The passes over a batch of texts, for the entities asked for; ``every``: all that can shield a span."""
+
+    def __init__(self, specs: Sequence[Entity], every: Sequence[Entity], min_score: float, resolve: bool, report_invalid: bool):
+        self.specs, self.every = list(specs), list(every)
+        self.min_score, self.resolve, self.report_invalid = min_score, resolve, report_invalid
+        self.patterns = {s.id: [(name, re.compile(p), base) for name, p, base in s.patterns] for s in (*specs, *every)}
+        self.context = {s.id: _Context(s) for s in (*specs, *every)}
+        self.place = {s.id: i for i, s in enumerate(self.specs)}
+
+    def owned(self, spec: Entity, joined: str, begins: list[int]) -> dict[tuple[int, int], int]:
+        """Every span that a pattern of the entity hits, with the first pattern that does."""
+        out: dict[tuple[int, int], int] = {}
+        for k, (_, pattern, _) in enumerate(self.patterns[spec.id]):
+            if spec.built_in:  # none of these reaches over the NUL between texts
+                hits = (m.span() for m in pattern.finditer(joined))
+            else:
+                hits = ((m.start() + a, m.end() + a) for a, b in zip(begins, begins[1:]) for m in pattern.finditer(joined[a : b - 1]))
+            for span in hits:
+                out.setdefault(span, k)
+        return out
 
+    def candidates(self, norms: list[str], specs: Iterable[Entity], report_invalid: bool) -> list[list[_Found]]:
+        """For each text what its entities' patterns, check digits and contexts leave, in order of entity, pattern, place."""
+        joined = "\0".join(norms) + "\0"
+        begins = [0, *(np.cumsum([len(t) + 1 for t in norms]).tolist() if norms else [])]
+        out: list[list[_Found]] = [[] for _ in norms]
+        for spec in specs:
+            owned = self.owned(spec, joined, begins)
+            if not owned:
+                continue
+            good = spec.check([joined[a:b] for a, b in owned])
+            suspects = {k for k, (_, _, base) in enumerate(spec.patterns) if base >= SUSPECT_FROM} if report_invalid and spec.tier == "N1" else set()
+            context, names = self.context[spec.id], [p[0] for p in spec.patterns]
+            for ((start, end), k), ok in zip(owned.items(), good.tolist()):
+                if not ok and k not in suspects:
+                    continue
+                i = bisect_right(begins, start) - 1
+                near = context.near(joined, start, end, begins[i], begins[i + 1] - 1)
+                if near or not ok or not spec.required:
+                    out[i].append(_Found(spec, start - begins[i], end - begins[i], names[k], near, ok))
+        return out
 
-def embedded(norm: X, text: X, specs: list[Entity], taken: X) -> X:
-    """Identifiers with a valid check digit and context inside a longer run of digits; ``taken``: spans that are known."""
-    # a run inside a token without letters
-    run = r"(?<!\p{L}\p{N}{0,64})(?<![0-9])[0-9]{9,}(?![0-9])(?!\p{N}{0,64}\p{L})"
-    own = [s for s in specs if s.id in DIGITS and s.built_in]
-    none = F.array().cast(MATCHES)
-    if not own:
-        return none
+    def evaded(self, text: str) -> list[_Found]:
+        """Matches that appear once invisible characters are taken out, placed in the original text."""
+        at = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
+        plain = "".join(text[i] for i in at).translate(_SWAP)
+        found = self.candidates([plain], self.specs, self.report_invalid)[0]
+        for m in found:
+            m.start, m.end = at[m.start], at[m.end - 1] + 1
+        return [m for m in found if m.spec.tier == "N1" or m.context]
+
+    def embedded(self, norms: list[str], found: list[list[_Found]]) -> list[list[_Found]]:
+        """Identifiers with a valid check digit and context inside a longer run of digits, in a token without letters."""
+        own, out = [s for s in self.specs if s.id in DIGITS and s.built_in], [[] for _ in norms]
+        runs = [(i, *m.span()) for i, norm in enumerate(norms) for m in _RUN.finditer(norm)] if own else []
+        runs = [r for r in runs if not _in_letters(norms[r[0]], *r[1:])]
+        if not runs:
+            return out
+        codes = checks.rows(["".join(norms[i][a:b] for i, a, b in runs)])[0]
+        text_of, first, last = np.array(runs).T
+        length = last - first
+        at = np.cumsum(length) - length
+        taken = {i: {(m.start, m.end) for m in found[i]} for i in set(text_of.tolist())}
+        shields: dict[int, list[tuple[int, int]]] = {}
+        said: dict[tuple[int, str], bool] = {}
+        folded: dict[int, str] = {}
+        for spec in own:
+            context = self.context[spec.id]
+            for name, n in DIGITS[spec.id]:
+                count = np.maximum(length - n + 1, 0)
+                run = np.repeat(np.arange(len(runs)), count)
+                step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+                near_end = (length[run] <= RUN_CAP) | (step < RUN_CAP) | (step >= length[run] - RUN_CAP)
+                run, step = run[near_end], step[near_end]
+                good = checks.valid_windows(spec.id, codes, at[run] + step, n)
+                for i, a in zip(text_of[run[good]].tolist(), (first[run] + step)[good].tolist()):
+                    if (i, spec.id) not in said:  # most texts don't hold any of its words
+                        folded[i] = folded.get(i) or norms[i].translate(_FOLD)
+                        said[i, spec.id] = bool(context.anywhere.search(folded[i]))
+                    if not said[i, spec.id] or (a, a + n) in taken[i] or not context.near(norms[i], a, a + n, 0, len(norms[i])):
+                        continue
+                    if i not in shields:
+                        shields[i] = self.shields(norms[i])
+                    if any(x <= a and a + n <= y and y - x > n for x, y in shields[i]):
+                        continue
+                    taken[i].add((a, a + n))
+                    out[i].append(_Found(spec, a, a + n, f"{name}_embedded", True, True))
+        return out
 
-    def shielding(s):
+    def shields(self, norm: str) -> list[tuple[int, int]]:
         """Spans of complete values of any kind, which nothing is dug out of."""
-        good = F.filter(owned_spans_all(norm, s), lambda x: (s.validator(_cut(norm, x["start"], x["end"])) if s.validator else F.lit(True)))
-        return F.filter(good, lambda x: has_context(norm, x["start"], x["end"], s)) if s.required else good
-
-    def with_runs(x):
-        def windows(spec, name, n):
-            def of_run(r):
-                starts = F.sequence(r["start"], F.greatest(r["start"], r["end"] - n))
-                inside = F.filter(starts, lambda a: (a + n <= r["end"]) & ((r["end"] - r["start"] <= RUN_CAP) | (a < r["start"] + RUN_CAP) | (a >= r["end"] - RUN_CAP)))
-                free = F.filter(inside, lambda a: ~F.exists(taken, lambda t: (t["start"] == a) & (t["end"] == a + n)) & spec.validator(_cut(norm, a, a + n)))
-                clear = F.filter(free, lambda a: ~F.exists(x["shield"], lambda s: (s["start"] <= a) & (s["end"] >= a + n) & (s["end"] - s["start"] > n)))
-                near = F.filter(clear, lambda a: has_context(norm, a, a + n, spec))
-                return F.transform(near, lambda a: _match(spec, text, a, a + n, F.lit(name + "_embedded"), F.lit(True), F.lit(True)))
-
-            return F.flatten(F.transform(x["runs"], of_run))
-
-        every = F.concat(*(windows(s, name, n) for s in own for name, n in DIGITS[s.id]))
-        # of several entities that take one window, the first stays
-        first = F.aggregate(every, none, lambda a, m: F.when(F.exists(a, lambda k: (k["start"] == m["start"]) & (k["end"] == m["end"])), a).otherwise(F.array_append(a, m)))
-        return first
-
-    shields = F.concat(*(F.transform(shielding(s), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for s in registered()))
-    return F.when(norm.rlike(run), let(F.struct(spans(norm, run).alias("runs"), shields.alias("shield")), with_runs)).otherwise(none)
-
-
-def owned_spans_all(norm: X, spec: Entity) -> X:
-    return F.concat(*(spans(norm, regex) for _, regex, _ in spec.patterns))
-
-
-def resolve_overlaps(matches: X, order: list[str]) -> X:
-    """The best of overlapping matches by tier, score, length, entity order, place, arrival; in position order."""
-    def place(m):
-        out = F.lit(99)
-        for i, e in enumerate(order):
-            out = F.when(m["entity"] == e, i).otherwise(out)
+        out = []
+        for spec in self.every:
+            spans = {m.span() for _, pattern, _ in self.patterns[spec.id] for m in pattern.finditer(norm)}
+            spans = list(spans)
+            for (a, b), ok in zip(spans, spec.check([norm[a:b] for a, b in spans]).tolist() if spans else ()):
+                if ok and (not spec.required or self.context[spec.id].near(norm, a, b, 0, len(norm))):
+                    out.append((a, b))
         return out
 
-    def keyed(m, i):
-        tier = F.lit(9)
-        for name, r in TIERS.items():
-            tier = F.when(m["tier"] == name, r).otherwise(tier)
-        return F.struct(tier.alias("t"), (-m["score"]).alias("s"), (m["start"] - m["end"]).alias("l"), place(m).alias("e"), m["start"].alias("a"), i.alias("i"), m.alias("m"))
-
-    ordered = F.transform(F.array_sort(F.transform(matches, keyed)), lambda k: k["m"])
-    kept = F.aggregate(ordered, F.array().cast(MATCHES), lambda a, m: F.when(F.exists(a, lambda k: (m["start"] < k["end"]) & (k["start"] < m["end"])), a).otherwise(F.array_append(a, m)))
-    return by_position(kept)
-
+    def best(self, found: list[_Found], n_chars: int) -> list[_Found]:
+        """The best of overlapping matches by tier, score, length, entity order, place, arrival."""
+        covered = bytearray(n_chars)
+        kept = []
+        for m in sorted(found, key=lambda m: (TIERS.get(m.spec.tier, 9), -m.score, m.start - m.end, self.place[m.spec.id], m.start)):
+            if 1 not in covered[m.start : m.end]:
+                covered[m.start : m.end] = b"\1" * (m.end - m.start)
+                kept.append(m)
+        return kept
+
+    def matches(self, texts: list[str]) -> list[list[_Found]]:
+        """Of each text, in position order."""
+        norms = [t if t.isascii() else t.translate(_SWAP) for t in texts]
+        digits = [i for i, t in enumerate(texts) if _DIGIT.search(t)]
+        # without digits: only for entities that can do without, where their words or an entity of the caller's may be
+        bare = [s for s in self.specs if not s.needs_digit]
+        rest = set(range(len(texts))) - set(digits) if bare else ()
+        if all(s.built_in for s in bare):
+            rest = [i for i in rest if _WORDS_ONLY.search(_INVISIBLE.sub("", norms[i]).translate(_FOLD))]
+        out: list[list[_Found]] = [[] for _ in texts]
+        for which, specs in ((digits, self.specs), (sorted(rest), bare)):
+            if not which:
+                continue
+            own = [norms[i] for i in which]
+            plain = self.candidates(own, specs, self.report_invalid)
+            for i, found in zip(which, plain):
+                if not texts[i].isascii() and _NEAR.search(texts[i]):
+                    found += self.evaded(texts[i])
+            for i, found, more in zip(which, plain, self.embedded(own, plain)):
+                text, found = texts[i], found + more
+                by_place = lambda ms: sorted(ms, key=lambda m: (m.start, m.end))
+                sure = [m for m in found if m.valid and m.score >= self.min_score]
+                kept = by_place(self.best(sure, len(text)) if self.resolve else sure)
+                if self.report_invalid:
+                    free = [m for m in found if not m.valid and not any(_clash(m, k) for k in kept)]
+                    kept = by_place(kept + self.best(free, len(text)))
+                for m in kept:
+                    m.value = text[m.start : m.end]
+                out[i] = kept
+        return out
 
-def by_position(matches: X) -> X:
-    keyed = F.transform(matches, lambda m, i: F.struct(m["start"].alias("a"), m["end"].alias("b"), i.alias("i"), m.alias("m")))
-    return F.transform(F.array_sort(keyed), lambda k: k["m"])
+    def column(self, texts: pa.Array) -> pa.Array:
+        values = texts.to_pylist()
+        found = iter(self.matches([t for t in values if t is not None]))
+        rows, ends = [], [0]
+        for t in values:
+            if t is not None:
+                rows.extend(m.row() for m in next(found))
+            ends.append(len(rows))
+        columns = list(zip(*rows)) or [()] * len(FIELDS)
+        flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], fields=list(_ARROW))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
 
 def check_score(score: float) -> None:
@@ -196,40 +299,32 @@ def check_score(score: float) -> None:
         raise ValueError(f"a score lies between 0 and 1: {score!r}")
 
 
-def find_column(text: X, entities: Iterable[str] | None = None, min_score: float = 0.0, resolve: bool = True, report_invalid: bool = False, max_chars: int | None = MAX_CHARS) -> X:
+def find_column(text: Column | str, entities: Iterable[str] | None = None, min_score: float = 0.0, resolve: bool = True, report_invalid: bool = False, max_chars: int | None = MAX_CHARS) -> Column:
     """array<match> of each text (null: null), from that row alone: it works on streams as on tables.
 
     Texts without a digit of any script are passed over unless an entity that
     is asked for can do without one.
     """
     check_score(min_score)
+    text = SF.col(text) if isinstance(text, str) else text
     specs = registered(entities)
-    order = [s.id for s in specs]
-
-    def passes(norm):
-        plain = F.concat(*(candidates(norm, text, s, report_invalid) for s in specs), evaded(text, specs, report_invalid))
-        return let(plain, lambda found: F.concat(found, embedded(norm, text, specs, found)))
-
-    def finish(found):
-        valid = F.filter(found, lambda m: m["valid_dv"] & (m["score"] >= min_score))
-        kept = resolve_overlaps(valid, order) if resolve else by_position(valid)
-        if not report_invalid:
-            return kept
-        free = lambda k: F.filter(found, lambda m: ~m["valid_dv"] & ~F.exists(k, lambda x: (m["start"] < x["end"]) & (x["start"] < m["end"])))
-        return let(kept, lambda k: by_position(F.concat(k, resolve_overlaps(free(k), order))))
-
-    possible = text.rlike(f"[0-9{OTHER_DIGITS}]")
-    if any(not s.needs_digit for s in specs):
-        if all(s.built_in for s in specs):
-            possible = possible | fold(normalise(strip_invisible(text))).rlike("cib|cadastro imobiliario")
-        else:
-            possible = F.lit(True)
-    found = F.when(possible, let(normalise(text), lambda norm: let(passes(norm), finish))).otherwise(F.array().cast(MATCHES))
-    found = F.when(text.isNotNull(), found)
-    if max_chars is None:
-        return found
-    too_long = F.raise_error(F.concat("a text has ", F.char_length(text).cast("string"), f" characters, over the limit of {max_chars}"))
-    return F.when(F.char_length(text) > max_chars, too_long.cast(MATCHES)).otherwise(found)
+    scanner = _Scanner(specs, registered(), min_score, resolve, report_invalid)
+    possible = text.rlike(r"\p{N}")  # the scanner looks closer
+    bare = [s for s in specs if not s.needs_digit]
+    if bare:
+        possible = possible | text.rlike(r"[^\x00-\x7f]|(?i:cib|cadastro imobiliario)") if all(s.built_in for s in bare) else SF.lit(True)
+    if max_chars is not None:
+        too_long = SF.raise_error(SF.concat(SF.lit("a text has "), SF.char_length(text).cast("string"), SF.lit(f" characters, over the limit of {max_chars}"))).cast("string")
+        text_or_error = SF.when(SF.char_length(text) > max_chars, too_long).otherwise(text)
+    else:
+        text_or_error = text
+
+    def scan(texts: pa.Array) -> pa.Array:
+        return scanner.column(texts)
+
+    # declared nondeterministic so that the optimizer neither copies the call nor moves it into other operators
+    found = SF.arrow_udf(scan, MATCHES).asNondeterministic()(SF.when(possible | (SF.char_length(text) > (max_chars or 1 << 31)), text_or_error))
+    return SF.when(text.isNotNull(), found)
 
 
 def find(df: DataFrame, text_col: str = "text", keep: Iterable[str] | None = None, **options) -> DataFrame:
@@ -240,9 +335,8 @@ def find(df: DataFrame, text_col: str = "text", keep: Iterable[str] | None = Non
 
 
 def with_matches(df: DataFrame, text_col: str = "text", matches_col: str = "__matches", **options) -> DataFrame:
-    """``df`` with the matches of each text as an array, computed once (inline keeps it from being repeated)."""
-    found = F.column(find_column(F.col(text_col), **options))
-    return df.drop(matches_col).select("*", SF.inline(SF.array(SF.struct(found.alias(matches_col)))))
+    """``df`` with the matches of each text as an array."""
+    return df.drop(matches_col).select("*", find_column(SF.col(text_col), **options).alias(matches_col))
 
 
-__all__ = ["MATCHES", "find", "find_column", "has_context", "resolve_overlaps", "spans", "with_matches"]
+__all__ = ["MATCHES", "find", "find_column", "spans", "with_matches"]

@@ -7,48 +7,21 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql.functions import pandas_udf
+import numpy as np
 
+from velum.functions import checks
 from velum.functions import sqlx as F
 from velum.functions.sqlx import X
-from velum.functions.text import WS
-from velum.functions.validators import VALIDATORS
 
 TIERS = {"N1": 1, "N2": 2, "N3": 3, "N4": 4}
-_EDGE_LEFT, _EDGE_RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-
-
-def to_java(pattern: str) -> str:
-    """A pattern with Python's meaning of \\b (at its edges), \\s and \\d, for Java's engine."""
-    out, inside, i = [], False, 0
-    while i < len(pattern):
-        two = pattern[i : i + 2]
-        if two == r"\s":
-            out.append(WS[1:-1] if inside else WS)
-            i += 2
-        elif two == r"\d":
-            out.append("0-9" if inside else "[0-9]")
-            i += 2
-        elif two == r"\b" and not inside:
-            out.append(_EDGE_LEFT if i == 0 or pattern[i - 1] in "(|" else _EDGE_RIGHT)
-            i += 2
-        elif two[:1] == "\\":
-            out.append(two)
-            i += 2
-        else:
-            inside = (inside or two[0] == "[") and two[0] != "]"
-            out.append(two[0])
-            i += 1
-    return "".join(out)
 
 
 @dataclass(frozen=True)
 class Entity:
     id: str
     tier: str
-    patterns: tuple[tuple[str, str, float], ...]  # name, Java regex, base score
-    validator: Callable[[X], X] | None
+    patterns: tuple[tuple[str, str, float], ...]  # name, regular expression (Python's), base score
+    validator: Callable[[str], bool] | None  # built-in entities have their rule in functions.checks
     words: tuple[str, ...]
     window: int
     required: bool
@@ -59,10 +32,16 @@ class Entity:
     needs_digit: bool = True
     built_in: bool = True
 
+    def check(self, values: list[str]) -> np.ndarray:
+        """Which of the values are valid; without a validator all are."""
+        if self.built_in:
+            return checks.valid(self.id, values)
+        return np.array([self.validator is None or bool(self.validator(v)) for v in values], bool)
+
 
 def _make(id, tier, window, required, scores, words, *patterns, **more) -> Entity:
-    made = tuple((name, to_java(regex), base) for name, base, regex in patterns)
-    return Entity(id, tier, made, VALIDATORS[id], tuple(sorted(words.split("|"))), window, required, scores, **more)
+    made = tuple((name, regex, base) for name, base, regex in patterns)
+    return Entity(id, tier, made, None, tuple(sorted(words.split("|"))), window, required, scores, **more)
 
 
 _C = "0-9A-HJKMNP-TV-Za-hjkmnp-tv-z"
@@ -151,8 +130,8 @@ def check_regex(pattern: str) -> None:
         i += 1
 
 
-def register_entity(id: str, patterns: Iterable[tuple[str, str, float]], tier: str = "N2", validator: Callable[[X], X] | None = None, words: Iterable[str] = (), window: int = 50, required: bool | None = None, score_with_context: float = 0.7, score_without_context: float = 0.5, replace_existing: bool = False, unsafe_regex: bool = False, needs_digit: bool = False) -> Entity:
-    """Add an entity. ``validator`` maps an SQL expression to a boolean one; ``udf_validator`` makes one of a Python function."""
+def register_entity(id: str, patterns: Iterable[tuple[str, str, float]], tier: str = "N2", validator: Callable[[str], bool] | None = None, words: Iterable[str] = (), window: int = 50, required: bool | None = None, score_with_context: float = 0.7, score_without_context: float = 0.5, replace_existing: bool = False, unsafe_regex: bool = False, needs_digit: bool = False) -> Entity:
+    """Add an entity. ``validator`` tells whether a value that a pattern has hit is a valid one; it runs in Arrow batches."""
     global _entities
     if _frozen:
         raise RegistryError("the registry is frozen")
@@ -180,7 +159,7 @@ def register_entity(id: str, patterns: Iterable[tuple[str, str, float]], tier: s
     if not unsafe_regex:
         for _, regex, _ in patterns:
             check_regex(regex)
-    made = Entity(id, tier, tuple((n, to_java(r), s) for n, r, s in patterns), validator, tuple(sorted(words)), window, needed, (score_with_context, score_without_context), needs_digit=needs_digit, built_in=False)
+    made = Entity(id, tier, tuple(patterns), validator, tuple(sorted(words)), window, needed, (score_with_context, score_without_context), needs_digit=needs_digit, built_in=False)
     _entities = _entities | {id: made}
     return made
 
@@ -215,12 +194,3 @@ def confidence(entity: str, valid: X) -> X:
     spec = entities([entity])[0]
     sure = F.lit(True) if spec.tier == "N1" and not spec.required else F.lit(None).cast("boolean")
     return F.when(~valid, F.lit(False)).otherwise(sure)
-
-
-def udf_validator(spark, name: str, fn: Callable[[str], bool]) -> Callable[[X], X]:
-    """A validator that calls a Python function in Arrow batches (registered in the session as ``name``)."""
-    def batch(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: bool(v is not None and fn(v)))
-
-    spark.udf.register(name, pandas_udf(batch, "boolean"))
-    return lambda value: X(f"{name}({value})")

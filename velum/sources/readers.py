@@ -80,7 +80,7 @@ def paragraphs(files: DataFrame, text_col: str = "text", min_len: int = 200, max
     kept = [c for c in files.columns if c != text_col]
     parts = files.select(*kept, F.posexplode(F.split(text_col, r"\n\s*\n")).alias("no", "raw"))
     flat = parts.select(*kept, "no", sqlx.column(collapse_blanks(sqlx.col("raw"))).alias("text")).where(F.char_length("text").between(min_len, max_len))
-    return flat.where(F.size(sqlx.column(find_column(sqlx.col("text")))) == 0) if drop_flagged else flat
+    return flat.where(F.size(find_column("text")) == 0) if drop_flagged else flat
 
 
 class _Reader(HTMLParser):
