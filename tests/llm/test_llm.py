@@ -255,10 +255,26 @@ def test_classifier_separates(spark, docs, empty):
     assert op10_classifier.kept_documents(docs, labels.where("1 = 0")).count() == docs.count()
     assert op10_classifier.kept_documents(empty, labels).count() == 0
     assert op10_classifier.kept_documents(docs, labels).columns == docs.columns
+    odd = df.withColumns({"__good": F.lit(True), "row": F.lit(1), "id": F.lit(2), "a b": F.lit(3)})
+    assert op10_classifier.kept_documents(odd, labels).columns == odd.columns
+    drawn = op10_classifier.resample(df, labels, ("doc_id",), k=30).where("kept")
+    assert drawn.count() == 30 and drawn.where("row.doc_id >= 80").count() == 0
     keys = spark.createDataFrame([(x,) for x in [5, -3, 9, 9, 1 << 60, -(1 << 62), 0]], "key long")
     assert [op10_classifier.top_k_threshold(keys, "key", k) for k in (1, 2, 3, 4, 7, 8)] == [1 << 60, 9, 9, 5, -(1 << 62), None]
 
 
+def test_draws_follow_the_importance_weights(spark):
+    """The largest of the keys is each row with a probability in proportion to its tempered weight."""
+    logs, n = [0.0, 0.005, 0.01, 0.02], 8000
+    rows = spark.range(n).crossJoin(spark.createDataFrame(list(enumerate(logs)), "i int, per_ngram double"))
+    draw = (F.shiftrightunsigned(F.xxhash64("id", "i"), 11).cast("double") + 0.5) / float(1 << 53)
+    keyed = rows.withColumn("key", op10_classifier.gumbel_key(F.col("per_ngram"), draw))
+    first = dict(keyed.groupBy("id").agg(F.max_by("i", "key").alias("i")).groupBy("i").count().collect())
+    weights = np.exp(op10_classifier.SHARPNESS * np.array(logs))
+    for i, w in enumerate(weights / weights.sum()):
+        assert abs(first[i] / n - w) < 4 * (w * (1 - w) / n) ** 0.5
+
+
 def _near_docs(r, families):
     vocabulary = ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(2000)]
     out = []
@@ -394,3 +410,30 @@ def test_kernel_hashes_are_placeless():
     p = tk.prefix_hash(cps)
     h = tk.span_hash(p, np.array([0, 4, 8]), np.array([3, 7, 11]))
     assert len(set(h.tolist())) == 1
+
+
+def test_leaks_stay_closed(spark):
+    """Keyed numbers that fail their check, cards beside other digits, long secrets."""
+    texts = ["api_key=1234567890123456", "password: 0000123412341234", "card 4111 1111 1111 1111 12/25", "card 4111 1111 1111 1111 123 ok", "no 12 4111-1111-1111-1111 x", "token = " + "a1B2c3D4" * 60, "id 1234567890123456 stays", "api_key=4111111111111111"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {r.doc_id: r for r in op8_pii.pseudonymise(df, op8_pii.DEMO_KEY).collect()}
+    for i, leak in enumerate(["1234567890123456", "0000123412341234", "4111 1111 1111 1111", "4111 1111 1111 1111", "4111-1111-1111-1111", "a1B2c3D4"]):
+        assert leak not in made[i].text and len(made[i].text) == len(texts[i]), made[i]
+    assert made[2].text.endswith(" 12/25") and made[3].text.endswith(" 123 ok") and made[4].text.startswith("no 12 4111-11")
+    assert made[6].text == texts[6] and [x.kind for x in made[0].pii] == ["secret"] and [x.kind for x in made[7].pii] == ["card"]
+
+
+def test_packing_keeps_every_capacity():
+    r = random.Random(2)
+    counts = {n: r.randint(0, 40) for n in [*range(1, 40), *range(40, 400, 7), 512, 1000]} | {1: 5000}
+    for max_docs, weights, rule in ((20, (1, 0.1, 0.1), "norm"), (20, (1, 1, 1), "dot"), (128, (1, 0.1, 0.1), "norm")):
+        bins = {}
+        for length, number, many, first, offset in op9_packing.plan(counts, 1000, max_docs, None, weights, rule):
+            for b in range(first, first + many):
+                got = bins.setdefault(b, [])
+                assert sum(got) == offset
+                got.append(length)
+        assert sorted(x for b in bins.values() for x in b) == sorted(n for n, c in counts.items() for _ in range(c))
+        assert all(sum(b) <= 1000 and len(b) <= max_docs for b in bins.values())
+        if max_docs == 20:
+            assert max(map(len, bins.values())) == 20  # it binds

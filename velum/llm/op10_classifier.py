@@ -4,13 +4,14 @@ Two generative models of hashed word n-grams (bags of unigrams and bigrams in
 ``BUCKETS`` buckets) are counted over the corpus: one over the documents that
 are labelled good, one over all documents. A document's log importance weight
 is the sum over its n-grams of log(target / raw). Documents are drawn without
-replacement by Gumbel top-k: each gets its weight plus Gumbel noise (from a
-hash of its id and text, so a rerun draws the same), and the k largest stay.
-The weight in the key is the one per n-gram (length-normalised, not the sum) and
-the noise is ``TEMPERATURE`` / sqrt(n-grams) times standard Gumbel (about 0.001
-for 300 n-grams), so the draw is nearly a fixed cut on the normalised weight.
-``k`` is counted, not given: the number of documents whose weight per n-gram
-reaches a threshold, which is set on the labelled documents that are held out
+replacement by Gumbel top-k: each gets the log of its weight plus standard
+Gumbel noise (from a hash of its id and text, so a rerun draws the same), and
+the k largest stay, which is sampling in proportion to the weights. Raw weights
+grow with the length of a text, so they are tempered: raised to the power
+``SHARPNESS`` / n-grams, the log weight per n-gram times ``SHARPNESS``.
+
+``k`` is a parameter. Left out, it is the number of documents whose weight per
+n-gram reaches a cut, which is set on the labelled documents that are held out
 from the fit (half of them, by a hash). Of the cuts at the quantiles 1 -
 ``KEEP_GOOD`` to ``MAX_QUANTILE`` of the good ones, in steps of 0.001, the one
 with the largest share of good kept less share of bad kept is taken; without
@@ -23,8 +24,10 @@ whatever the corpus is; only they reach the driver.
 
 Cases: a null or empty text has no n-grams and weight 0 per n-gram and in sum;
 repeated rows are counted and drawn each, in the same way; without labelled
-good documents everything is kept; an empty table gives an empty result; extra
-columns are carried only if named in ``keep``. Texts are read whole.
+good documents everything is kept unless k is given; an empty table gives an
+empty result; null ids have no label; extra columns are carried only if named
+in ``keep``, whatever their names. Rows with the k-th key stay all. Texts are
+read whole.
 """
 
 from __future__ import annotations
@@ -44,10 +47,10 @@ SMOOTHING = 1.0
 KEEP_GOOD = 0.999
 #: Quantile of the held-out good documents at the highest cut.
 MAX_QUANTILE = 0.1
-#: Labelled documents that are used at most: a bound on the broadcast (about 2 MB).
+#: Labelled documents that are used at most: a bound on the broadcast (about 6 MB).
 MAX_LABELLED = 100_000
-#: Scale of the Gumbel noise, in units of log weight per n-gram times the square root of their number.
-TEMPERATURE = 0.02
+#: Importance weights are raised to this power over the number of n-grams before sampling, so that they are comparable at all lengths.
+SHARPNESS = 100.0
 
 
 def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,18 +82,29 @@ def fit(docs: DataFrame, good_col: str, text_col: str = "text") -> np.ndarray:
     """log(target / raw) of each bucket; ``good_col``: true for target documents. Counts cover all rows."""
     schema = "target array<long>, raw array<long>"
 
-    def run(batches):
+    def summed(each):
         counts = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            for part, texts in arrow.blocks(batch, "text"):
-                bucket, owner = ngram_buckets(texts)
-                good = np.array([bool(x) for x in part.column("good").to_pylist()], bool)
-                counts[1] += np.bincount(bucket, minlength=BUCKETS)
-                counts[0] += np.bincount(bucket[good[owner]], minlength=BUCKETS)
+        for more in each:
+            counts += more
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([c.tolist()], pa.list_(pa.int64())) for c in counts], names=["target", "raw"])
 
-    rows = docs.select(F.col(text_col).alias("text"), F.col(good_col).alias("good")).mapInArrow(run, schema)
+    def count(batches):
+        def each():
+            for batch in batches:
+                for part, texts in arrow.blocks(batch, "text"):
+                    bucket, owner = ngram_buckets(texts)
+                    good = np.array([bool(x) for x in part.column("good").to_pylist()], bool)
+                    yield np.stack([np.bincount(bucket[good[owner]], minlength=BUCKETS), np.bincount(bucket, minlength=BUCKETS)])
+
+        yield from summed(each())
+
+    def add(batches):
+        yield from summed(np.stack([np.asarray(b.column(i).flatten()).reshape(-1, BUCKETS).sum(axis=0) for i in range(2)]) for b in batches if len(b))
+
+    # a row of sums for each task; these are added up in shuffle partitions before they become rows by bucket
+    tasks = docs.select(F.col(text_col).alias("text"), F.col(good_col).alias("good")).mapInArrow(count, schema)
+    rows = tasks.repartition(F.spark_partition_id()).mapInArrow(add, schema)
     flat = rows.select(F.posexplode(F.arrays_zip("target", "raw")).alias("bucket", "c"))
     sums = flat.groupBy("bucket").agg(F.sum("c.target").alias("target"), F.sum("c.raw").alias("raw")).collect()  # BUCKETS rows
     counts = np.zeros((2, BUCKETS))
@@ -104,20 +118,25 @@ def fit(docs: DataFrame, good_col: str, text_col: str = "text") -> np.ndarray:
 
 def _held_out():
     """The labelled documents that set the threshold; the others fit the target model."""
-    return F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2)) == 0
+    return F.pmod(F.xxhash64("id", F.lit(6)), F.lit(2)) == 0
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` as the struct ``row``, good, held, n_ngrams, log_weight (sum) and draw (uniform in (0, 1), from id and text)."""
+def weigh(docs: DataFrame, ratio: np.ndarray, keep: tuple[str, ...], seed: int = 17) -> DataFrame:
+    """``keep``, good, held, n_ngrams, log_weight (sum), per_ngram and draw (uniform in (0, 1), from seed, id and text). docs: id, text, good."""
 
     def run(texts: list[str]) -> list[pa.Array]:
         bucket, owner = ngram_buckets(texts)
         return [pa.array(np.bincount(owner, minlength=len(texts)), pa.int64()), pa.array(np.bincount(owner, ratio[bucket], len(texts)), pa.float64())]
 
-    named = docs.select(F.struct(*keep).alias("row"), F.col("__good").alias("good"), _held_out().alias("held"), F.col(text_col).alias("__t"), F.xxhash64(F.lit(17), "doc_id", F.col(text_col)).alias("__h"))
-    out = arrow.add_columns(named, "__t", "n_ngrams long, log_weight double", run, ["row", "good", "held", "__h"])
-    uniform = (F.shiftrightunsigned("__h", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    return out.select("row", "good", "held", "n_ngrams", "log_weight", uniform.alias("draw"))
+    named = docs.select(*keep, "good", _held_out().alias("held"), "text", F.xxhash64(F.lit(seed), "id", "text").alias("h"))
+    out = arrow.add_columns(named, "text", "n_ngrams long, log_weight double", run, [*keep, "good", "held", "h"])
+    uniform = (F.shiftrightunsigned("h", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    return out.select(*keep, "good", "held", "n_ngrams", "log_weight", (F.col("log_weight") / F.greatest(F.col("n_ngrams"), F.lit(1))).alias("per_ngram"), uniform.alias("draw"))
+
+
+def gumbel_key(per_ngram: F.Column, draw: F.Column) -> F.Column:
+    """Log of the tempered importance weight plus standard Gumbel noise: the k largest keys are k draws without replacement, by weight."""
+    return SHARPNESS * per_ngram - F.log(-F.log(draw))
 
 
 def top_k_threshold(df: DataFrame, key: str, k: int) -> int | None:
@@ -159,27 +178,30 @@ def cut(scored: DataFrame) -> tuple[float, float, float | None] | None:
     return cuts[best], float(kept[1, best]), float(kept[0, best]) if counts[0].any() else None
 
 
-def resample(docs: DataFrame, good: DataFrame, keep: tuple[str, ...], text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``docs`` weighed (their columns ``keep`` as the struct ``row``), with ``key`` and ``kept``.
+def resample(docs: DataFrame, good: DataFrame, keep: tuple[str, ...], text_col: str = "text", id_col: str = "doc_id", k: int | None = None, max_labelled: int = MAX_LABELLED, seed: int = 17) -> DataFrame:
+    """The columns ``keep`` of ``docs`` as the struct ``row``, n_ngrams, log_weight, per_ngram, key, and kept: drawn among the k.
 
+    k: how many rows to draw; None: as many as lie above the cut that labels choose.
     good: doc_id and ``is_good`` of labelled documents. At most about
     ``max_labelled`` of them, chosen by a hash of the id, are used, so the
     broadcast is bounded.
     """
     share = max_labelled / max(1, good.count())
-    used = good.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).groupBy("doc_id").agg(F.max("is_good").alias("__good"))
-    labelled = docs.join(F.broadcast(used), "doc_id", "left")
-    ratio = fit(labelled.withColumn("__target", F.col("__good") & ~_held_out()), "__target", text_col)
-    weighed = materialise(weigh(labelled, ratio, keep, text_col), "weights")
-    scored = weighed.select("*", (F.col("log_weight") / F.greatest(F.col("n_ngrams"), F.lit(1))).alias("per_ngram"))
-    at = cut(scored)
-    if at is None:
-        return scored.select("*", F.lit(True).alias("kept"))
-    k = scored.where(F.col("per_ngram") >= at[0]).count()
-    gumbel = -F.log(-F.log(F.col("draw")))
-    noisy = F.col("per_ngram") + TEMPERATURE * gumbel / F.sqrt(F.greatest(F.col("n_ngrams"), F.lit(1)))
-    keyed = scored.select("*", F.round(noisy * 1e12).cast("long").alias("key"))
-    return keyed.select("*", (F.col("key") >= top_k_threshold(keyed, "key", k)).alias("kept"))
+    used = good.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).groupBy(F.col("doc_id").alias("id")).agg(F.max("is_good").alias("good"))
+    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    labelled = plain.join(F.broadcast(used), "id", "left")
+    ratio = fit(labelled.withColumn("target", F.col("good") & ~_held_out()), "target")
+    narrow = len(keep) == 1  # else texts are weighed again at the end: rows are not written twice
+    keyed = lambda df: df.withColumn("key", F.round(gumbel_key(F.col("per_ngram"), F.col("draw")) * 1e9).cast("long"))
+    scored = keyed(materialise(weigh(labelled, ratio, ("row",) if narrow else (), seed), "weights"))
+    if k is None:
+        at = cut(scored)
+        k = scored.where(F.col("per_ngram") >= at[0]).count() if at else None
+    wanted = F.lit(True)
+    if k is not None:
+        threshold = top_k_threshold(scored, "key", k) if k else None
+        wanted = F.lit(bool(k)) if threshold is None else F.col("key") >= threshold
+    return (scored if narrow else keyed(weigh(labelled, ratio, ("row",), seed))).withColumn("kept", wanted)
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ def posterior(v: tuple[int, ...], share: float, p: list[tuple[float, float]]) ->
 
 
 def judge(measured: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """``measured`` (a written table: it is read twice) with base_failed, quality (posterior) and kept."""
+    """``measured`` (read twice: a written table, or measured again) with base_failed, quality (posterior) and kept."""
     rules = votes(F.col("m"))
     counted = measured.groupBy(*(v.alias(n) for n, v in rules.items())).count().collect()
     prior, adds = log_odds(*expectation_maximisation([(tuple(r[:-1]), r[-1]) for r in counted] or [((0,) * len(rules), 0)]))
@@ -152,4 +152,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, unchanged."""
     cols = tuple(docs.columns)
-    return judge(materialise(measure(docs, keep=cols), "rules")).where("kept").select("row.*")
+    # measured twice, once for the counts of vote patterns: rows are not written twice
+    return judge(measure(docs, keep=cols)).where("kept").select("row.*")

@@ -21,7 +21,9 @@ A candidate that fails its validation stays as it is. A date has its year
 first or last, '/', '.' or '-' between its parts, and days and months of one
 or two digits. It keeps its century; one with the year last counts as day,
 month, year where that is a date, else as month, day, year. A card keeps its
-first six digits and gets a new check digit.
+first six digits and gets a new check digit; other groups of digits beside it
+(an expiry month) stay. A value after a secret's key that looks like a number of
+some kind and fails its check is a secret.
 
 Cases: a null or empty text stays so and has no findings; repeated rows are
 treated alike; an empty table gives an empty result; other columns are kept,
@@ -203,11 +205,23 @@ def _phone(key: bytes, m: Column) -> Column:
 
 
 def _card(key: bytes, m: Column) -> Column:
-    d = _digits(m)
-    middle = F.substr(d, F.lit(7), F.length(d) - 7)
-    body = F.concat(F.substring(d, 1, 6), permute_text(key, "card", middle))
-    whole = F.transform(F.array(body), lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))[0]
-    return F.when(F.length(d).between(13, 19) & (_luhn(d) % 10 == 0) & ~d.rlike(r"^(\d)\1*$"), _refill(m, whole))
+    """The first run of whole groups in ``m`` with 13 to 19 digits that pass, the longest of those that begin there; what stands around it stays."""
+    shapes = F.array(*(F.lit(rf"^((?:\d+[ \-]){{{skip}}})(\d(?:[ \-]?\d){{{n - 1}}})(?![0-9])") for skip in range(6) for n in range(19, 12, -1)))
+
+    def good(x):
+        d = _digits(x)
+        return (F.length(d) > 0) & (_luhn(d) % 10 == 0) & ~d.rlike(r"^(\d)\1*$")
+
+    fits = F.filter(shapes, lambda p: good(F.call_function("regexp_extract", m, p, F.lit(2))))
+
+    def made(p):
+        before, own = F.call_function("regexp_extract", m, p, F.lit(1)), F.call_function("regexp_extract", m, p, F.lit(2))
+        d = _digits(own)
+        body = F.concat(F.substring(d, 1, 6), permute_text(key, "card", F.substr(d, F.lit(7), F.length(d) - 7)))
+        whole = F.transform(F.array(body), lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))[0]
+        return F.concat(before, _refill(own, whole), F.substr(m, F.length(before) + F.length(own) + 1))
+
+    return F.get(F.transform(F.slice(fits, 1, 1), made), F.lit(0))
 
 
 def _secret(key: bytes, m: Column) -> Column:
@@ -240,8 +254,14 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", found_col:
             made = F.when(x["kind"] == k, makers[k](key, x["old"])).otherwise(made)
         return F.struct(x["old"].alias("old"), x["kind"].alias("kind"), made.alias("new"))
 
+    def settled(x, i):
+        # what looks like a number of some kind but isn't one is still a secret where a key stands before it
+        keyed = x["new"].isNull() & F.get(F.col("gaps"), i).rlike(f"{_after(_PASSWORD + '|' + _SECRET)}$")
+        return F.struct(x["old"].alias("old"), F.when(keyed, F.lit("secret")).otherwise(x["kind"]).alias("kind"), F.when(keyed, _secret(key, x["old"])).otherwise(x["new"]).alias("new"))
+
     some = F.col("raw").isNotNull() & (F.size("raw") > 0)
     df = df.select(*names, "text", F.inline(F.array(F.struct(F.when(some, F.transform(F.transform("raw", judged), replaced)).alias("hits"), F.when(some, F.split("text", CANDIDATE)).alias("gaps")))))
+    df = df.select(*names, "text", "gaps", F.inline(F.array(F.struct(F.transform("hits", settled).alias("hits")))))
     new = F.transform("hits", lambda x: F.coalesce(x["new"], x["old"]))
     whole = F.array_join(F.flatten(F.transform("gaps", lambda g, i: F.array(g, F.coalesce(F.get(new, i), F.lit(""))))), "")
     spans = F.aggregate(

@@ -14,8 +14,8 @@ share of the rows.
 
 Cases: a null or empty text is one piece of one token (id 0 alone); repeated
 rows are packed each; an empty table gives an empty result; extra columns are
-not carried. Only texts longer than the capacity are cut, the first piece
-taking the remainder.
+not carried, whatever their names. Only texts longer than the capacity are
+cut, the first piece taking the remainder.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from velum.llm import arrow, bpe
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
+#: Documents that a sequence takes at most, and the weights of tokens, documents and attention cost in the choice of a bin.
+MAX_DOCS, WEIGHTS = 128, (1.0, 0.1, 0.1)
 PART_ROWS = 20_000
 
 
@@ -74,15 +76,19 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, whole)
 
 
-def plan(counts: dict[int, int], capacity: int = 2048, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> list[tuple[int, int, int, int, int]]:
+def plan(counts: dict[int, int], capacity: int = 2048, max_docs: int | None = MAX_DOCS, max_attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> list[tuple[int, int, int, int, int]]:
     """(length, first number, how many, first bin, offset): where the pieces of a length go.
 
     Pieces numbered first .. first+many-1 of that length go to as many bins
     from the first one on. ``rule`` "dot" takes the open bins of the largest
     weighted dot product of need and residual (both as shares of the
     capacities), "norm" those of the smallest weighted norm of what would be
-    left. Weights of (1, 0, 0) make "norm" plain best fit by tokens. A limit
-    of None does not bind.
+    left. Of bins that are equal in this the oldest is taken. Weights of
+    (1, 0, 0) make "norm" plain best fit by tokens. No document limit: as many
+    as there are tokens; no attention limit: the square of the capacity, which
+    a piece of full length needs. Whatever the counts, at most two groups of
+    bins for each length begin, and each is taken up again once for each
+    document that a bin can take.
     """
     caps = np.array([capacity, max_docs or capacity, max_attention or capacity**2], np.float64)
     w = np.asarray(weights, np.float64)
@@ -147,7 +153,7 @@ def pack(parts: DataFrame, capacity: int = 2048, **rules) -> DataFrame:
     own = F.row_number().over(W.partitionBy("length", "__salt").orderBy(*order))
     numbered = salted.withColumn("__own", own).join(before, ["length", "__salt"]).withColumn("__no", F.col("__before") + F.col("__own") - 1)
     hit = (F.col("length") == F.col("p_length")) & (F.col("__no") >= F.col("first_no")) & (F.col("__no") < F.col("first_no") + F.col("many"))
-    if len(rows) <= 20 * capacity:  # so it is for any input: a few rows for each length
+    if len(rows) <= 64 * capacity:  # so it is for any input: a few rows for each length
         placed = F.broadcast(placed)
     out = numbered.join(placed, hit)
     return out.select(*parts.columns, (F.col("first_bin") + F.col("__no") - F.col("first_no")).alias("sequence_id"), "offset")
