@@ -94,6 +94,16 @@ def test_ann_against_brute_force(spark):
         assert len(found) == 5 and all(abs(s[i] - v) < 1e-12 for i, v in found)
     assert hits >= 0.9 * 5 * len(got)
     assert op1_ann.search(df.where("vec_id < 0"), df, 5).count() == 0
+    # copies of a query's row under its own id: the query keeps its five, of the other rows
+    copies = df.unionByName(spark.createDataFrame([(50, [float(v) for v in x[50]])] * 40, "vec_id long, embedding array<float>"))
+    again = op1_ann.search(copies.withColumn("score", F.lit(1)).withColumn("v", F.lit(2)), copies.where("vec_id = 50"), 5).orderBy("rank").collect()
+    s = unit @ unit[50]
+    s[50] = -9
+    assert [r.vec_id for r in again] == np.argsort(-s)[:5].tolist() and [r["rank"] for r in again] == [1, 2, 3, 4, 5]
+    # ties go to the smaller id, and a query whose own lists hold too few is sent to the others
+    split = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)] + [(i, [0.0, 1.0]) for i in range(3, 3000)], "vec_id long, embedding array<double>")
+    top = op1_ann.search(split, split.where("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 9)) for r in top] == [(1, 1.0), (2, 1.0), (3, 0.0), (4, 0.0), (5, 0.0)]
     few = op1_ann.search(df.where("vec_id < 3"), df.where("vec_id = 0"), 5).collect()
     assert [r.rank for r in few] == [1, 2]
 
