@@ -1,4 +1,7 @@
-from velum.operators import evaluate
+import pytest
+from pyspark.sql import functions as F
+
+from velum.operators import evaluate, gate, mask, reports
 from velum.sources import readers
 from velum.streaming import streams
 
@@ -45,3 +48,35 @@ def test_entry_has_queries():
 
     queries, oracle = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert len(queries) > 50 and set(oracle) <= set(queries)
+
+
+def test_sinks_and_gates(spark, tmp_path):
+    df = spark.createDataFrame([(1, "cpf 529.982.247-25"), (2, "ola")], "doc_id long, text string")
+    reports.write_text(mask.mask(df, entities=["BR_CPF"]), f"{tmp_path}/t")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/t").collect()) == ["cpf <BR_CPF>", "ola"]
+    corpus = df.select(F.lit("dev").alias("file"), F.col("doc_id").alias("id"), "text", F.array(F.lit(1)).alias("spans"))
+    made = reports.write_corpus(corpus, f"{tmp_path}/c", 42).first()
+    assert (made.n_docs, made.n_spans, made.seed, len(made.sha256)) == (2, 2, 42, 64)
+    assert spark.read.json(f"{tmp_path}/c/data").count() == 2
+    decided = gate.decide(df, entities=["BR_CPF"])
+    with pytest.raises(reports.IngestionError):
+        reports.gate_ingestion(decided)
+    passed, held = reports.gate_ingestion(decided, quarantine=True)
+    assert [r.doc_id for r in passed.collect()] == [2] and [r.doc_id for r in held.collect()] == [1]
+    assert [r.doc_id for r in reports.gate_answers(df, mask.residual(df, entities=["BR_CPF"])).collect()] == [2]
+    spans = spark.createDataFrame([([(0, 5), (3, 8), (8, 9), (4, 6)],)], "s array<struct<start:int,end:int>>")
+    assert [tuple(x) for x in spans.select(reports.without_overlaps_from_right(F.col("s"))).first()[0]] == [(4, 6), (8, 9)]
+
+
+def test_find_in_sql_and_windows_on_a_stream(spark, tmp_path):
+    streams.register_sql(spark, entities=["BR_CPF"])
+    spark.createDataFrame([(1, "cpf 529.982.247-25")], "i int, text string").createOrReplaceTempView("texts")
+    assert [r.entity for r in spark.sql("SELECT inline(velum_find(text)) FROM texts").collect()] == ["BR_CPF"]
+    (tmp_path / "in").mkdir()
+    lines = [f'{{"doc_id":{i},"at":"2024-01-01T00:{i:02d}:00Z","text":"cpf 529.982.247-25"}}' for i in (1, 2, 14)] + ['{"doc_id":9,"at":"2024-01-01T02:00:00Z","text":"cpf 529.982.247-25"}']
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines))
+    stream = spark.readStream.schema("doc_id long, at timestamp, text string").json(str(tmp_path / "in"))
+    counted = streams.exposure_by_window(streams.find_stream(stream, entities=["BR_CPF"]), "at")
+    q = counted.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert sorted(r.n_matches for r in spark.table("windows").collect()) == [1, 2]

@@ -299,6 +299,18 @@ def check_score(score: float) -> None:
         raise ValueError(f"a score lies between 0 and 1: {score!r}")
 
 
+def find_udf(entities: Iterable[str] | None = None, min_score: float = 0.0, resolve: bool = True, report_invalid: bool = False):
+    """The scanner as an Arrow function of a text column, also for ``spark.udf.register``."""
+    check_score(min_score)
+    scanner = _Scanner(registered(entities), registered(), min_score, resolve, report_invalid)
+
+    def scan(texts: pa.Array) -> pa.Array:
+        return scanner.column(texts)
+
+    # declared nondeterministic so that the optimizer neither copies the call nor moves it into other operators
+    return SF.arrow_udf(scan, MATCHES).asNondeterministic()
+
+
 def find_column(text: Column | str, entities: Iterable[str] | None = None, min_score: float = 0.0, resolve: bool = True, report_invalid: bool = False, max_chars: int | None = MAX_CHARS) -> Column:
     """array<match> of each text (null: null), from that row alone: it works on streams as on tables.
 
@@ -308,7 +320,6 @@ def find_column(text: Column | str, entities: Iterable[str] | None = None, min_s
     check_score(min_score)
     text = SF.col(text) if isinstance(text, str) else text
     specs = registered(entities)
-    scanner = _Scanner(specs, registered(), min_score, resolve, report_invalid)
     possible = text.rlike(r"\p{N}")  # the scanner looks closer
     bare = [s for s in specs if not s.needs_digit]
     if bare:
@@ -319,11 +330,7 @@ def find_column(text: Column | str, entities: Iterable[str] | None = None, min_s
     else:
         text_or_error = text
 
-    def scan(texts: pa.Array) -> pa.Array:
-        return scanner.column(texts)
-
-    # declared nondeterministic so that the optimizer neither copies the call nor moves it into other operators
-    found = SF.arrow_udf(scan, MATCHES).asNondeterministic()(SF.when(possible | (SF.char_length(text) > (max_chars or 1 << 31)), text_or_error))
+    found = find_udf(entities, min_score, resolve, report_invalid)(SF.when(possible | (SF.char_length(text) > (max_chars or 1 << 31)), text_or_error))
     return SF.when(text.isNotNull(), found)
 
 
@@ -339,4 +346,4 @@ def with_matches(df: DataFrame, text_col: str = "text", matches_col: str = "__ma
     return df.drop(matches_col).select("*", find_column(SF.col(text_col), **options).alias(matches_col))
 
 
-__all__ = ["MATCHES", "find", "find_column", "spans", "with_matches"]
+__all__ = ["MATCHES", "find", "find_column", "find_udf", "spans", "with_matches"]

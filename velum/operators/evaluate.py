@@ -62,6 +62,10 @@ def scores(counted: DataFrame, documents: DataFrame, id_col: str = "id") -> Data
     return prf(sums)
 
 
+#: Documents that the exact bootstrap takes: it numbers them in one task and draws on the driver.
+EXACT_DOCS = 5000
+
+
 def bootstrap_f1(per_doc: DataFrame, n_boot: int = 1000, seed: int = 42, id_col: str = "id") -> tuple[float, float]:
     """95 % interval of F1 over resampled documents, by ranks int(.025 n) and int(.975 n) - 1 of the sorted replicates.
 
@@ -69,6 +73,8 @@ def bootstrap_f1(per_doc: DataFrame, n_boot: int = 1000, seed: int = 42, id_col:
     so small test sets reproduce exactly. The draws are joined as (replicate, number, times).
     """
     spark = per_doc.sparkSession
+    if per_doc.select(id_col).distinct().count() > EXACT_DOCS:
+        raise ValueError(f"over {EXACT_DOCS} documents: use poisson_bootstrap_f1")
     docs = per_doc.groupBy(id_col).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
     numbered = docs.withColumn("no", F.row_number().over(W.orderBy(id_col)) - 1)
     n = numbered.count()

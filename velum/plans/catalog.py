@@ -12,7 +12,7 @@ from velum.functions import validators as V
 from velum.functions.session import table
 from velum.functions.sqlx import X, column
 from velum.functions.text import canonical_label, canonical_vault, collapse_blanks, fold, invisible_near_digit, normalise, strip_invisible
-from velum.operators import evaluate, gate, mask
+from velum.operators import evaluate, gate, mask, reports
 from velum.operators.detect import find, spans, with_matches
 from velum.sources import readers, synth
 
@@ -83,15 +83,22 @@ def _then(x: X, fn) -> X:
     return let(x, fn)
 
 
+def _odd(v: X) -> X:
+    """Of the valid values, by key: one digit repeated, one character too few, a stray one inside, or as it is."""
+    n = F.char_length(v)
+    turn = F.pmod(F.col("k"), 7)
+    return F.when(turn == 1, F.repeat("5", n)).when(turn == 2, F.substr(v, 1, n - 1)).when(turn == 3, F.concat(F.substr(v, 1, 4), "x", F.substr(v, 5))).otherwise(v)
+
+
+_D_ODD = "CASE k % 7 WHEN 1 THEN repeat('5', length(v)) WHEN 2 THEN substr(v, 1, length(v) - 1) WHEN 3 THEN substr(v, 1, 4) || 'x' || substr(v, 5) ELSE v END"
 for _name, (_entity, _spark, _steps) in _VALUES.items():
 
     def _query(spark, sf_dir, entity=_entity, value=_spark):
         df = _columns(_keys(spark, sf_dir), v0=value(F.col("k")))
-        df = _columns(df, value=F.when(F.pmod(F.col("k"), 3) == 0, synth.wrong_last_digit(F.col("v0"))).otherwise(F.col("v0")))
+        df = _columns(df, value=F.when(F.pmod(F.col("k"), 3) == 0, synth.wrong_last_digit(F.col("v0"))).otherwise(_odd(F.col("v0"))))
         return _columns(df.select("k", "value"), valid=V.is_valid(entity, F.col("value")))
 
-    # one wrong digit breaks every rule here; repeated digits, which some refuse, don't come up
-    _add(f"validate_{_name}", _query, f"WITH keys AS ({_K}), {_steps} SELECT k, CASE WHEN k % 3 = 0 THEN {_NEXT} ELSE v END AS value, k % 3 != 0 AS valid FROM val")
+    _add(f"validate_{_name}", _query, f"WITH keys AS ({_K}), {_steps} SELECT k, CASE WHEN k % 3 = 0 THEN {_NEXT} ELSE {_D_ODD} END AS value, k % 3 != 0 AND k % 7 NOT IN (1, 2, 3) AS valid FROM val")
 
 _SHAPES = {
     "placa": ("BR_PLACA", lambda k: F.concat("ABC", synth.base(k, 1), F.when(F.pmod(k, 3) == 0, "D").when(F.pmod(k, 3) == 1, "4").otherwise("-"), synth.base(k, 2, 31, 17)), f"'ABC' || {d_base(1)} || CASE k % 3 WHEN 0 THEN 'D' WHEN 1 THEN '4' ELSE '-' END || {d_base(2, 31, 17)}", "regexp_full_match(v, '[A-Z]{3}[0-9][0-9A-Z][0-9]{2}')"),
@@ -109,7 +116,7 @@ for _name, (_entity, _spark, _sql, _rule) in _SHAPES.items():
     _add(f"validate_{_name}", _query, f"WITH keys AS ({_K}), val AS (SELECT k, {_sql} AS v FROM keys) SELECT k, v AS value, {_rule} AS valid FROM val")
 
 _CIB = "WITH keys AS (" + _K + f"), b AS (SELECT k, 'A' || {d_base(6)} AS b FROM keys), c AS (SELECT k, b, (10 * 4 + {d_sum('b', (3, 9, 5, 7, 1, 8), 2)}) % 31 AS r FROM b), val AS (SELECT k, b || substr('{V.CROCKFORD}', r::INT + 1, 1) AS v FROM c)"
-_add("validate_cib", lambda s, d: _columns(_columns(_keys(s, d), value=_then(F.concat("A", synth.base(F.col("k"), 6)), lambda b: F.concat(b, V.cib_check_char(b)))), valid=V.is_valid("BR_CIB", F.col("value"))), _CIB + " SELECT k, v AS value, true AS valid FROM val")
+_add("validate_cib", lambda s, d: _columns(_columns(_columns(_keys(s, d), v0=_then(F.concat("A", synth.base(F.col("k"), 6)), lambda b: F.concat(b, V.cib_check_char(b)))), value=_odd(F.col("v0"))).drop("v0"), valid=V.is_valid("BR_CIB", F.col("value"))), _CIB + f" SELECT k, {_D_ODD} AS value, k % 7 NOT IN (1, 2, 3) AS valid FROM val")
 
 _CPF = "WITH keys AS (" + _K + "), " + _VALUES["cpf"][2]
 _CARD = "WITH keys AS (" + _K + "), " + _VALUES["cartao"][2]
@@ -129,7 +136,7 @@ _add("validate_any", lambda s, d: _columns(_columns(_keys(s, d), entity=F.when(F
 # --- text ---------------------------------------------------------------------------------------------------------
 _WIDE = "".join(chr(0xFF10 + i) for i in range(10))
 _add("normalise_text", lambda s, d: _columns(_keys(s, d), text=normalise(F.concat(F.translate(F.col("k").cast("string"), "0123456789", _WIDE), "–１．／ é"))), f"SELECT k, k || '-1./ é' AS text FROM ({_K})")
-_add("fold_text", lambda s, d: _columns(table(s, d, "documents").select("doc_id", "text"), folded=fold(F.col("text"))).drop("text"), "SELECT doc_id, translate(substr(text, 1, 500), 'ABCDEFGHIJKLMNOPQRSTUVWXYZéèêóñüçäöíÉÈÊÓÑÜÇÄÖÍ', 'abcdefghijklmnopqrstuvwxyzeeeonucaoieeeonucaoi') AS folded FROM documents")
+_add("fold_text", lambda s, d: _columns(table(s, d, "documents").select("doc_id", "text"), folded=fold(F.col("text"))).drop("text"), "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZéèêóñüçäöíÉÈÊÓÑÜÇÄÖÍ', 'abcdefghijklmnopqrstuvwxyzeeeonucaoieeeonucaoi') AS folded FROM documents")
 _add("strip_invisible", lambda s, d: _columns(_keys(s, d), text=strip_invisible(F.concat(F.col("k").cast("string"), "​1­2́é"))), f"SELECT k, k || '12é' AS text FROM ({_K})")
 _add("has_invisible_near_digit", lambda s, d: _columns(_keys(s, d), near=invisible_near_digit(F.concat(F.when(F.pmod(F.col("k"), 2) == 0, "ab​cd").otherwise("a​b"), F.col("k").cast("string")))), f"SELECT k, k % 2 = 1 AS near FROM ({_K})")
 _add("canonical_forms", lambda s, d: _columns(_keys(s, d), label=canonical_label(F.concat("ab-", F.translate(F.col("k").cast("string"), "0123456789", _WIDE))), vault=canonical_vault(F.concat("ab-", F.translate(F.col("k").cast("string"), "0123456789", _WIDE), ".x"))), f"SELECT k, 'AB' || k AS label, 'ABX' AS vault FROM ({_K})")
@@ -154,7 +161,9 @@ _add("find_cpf_and_card", lambda s, d: find(_texts(s, d), entities=["BR_CPF", "B
 _add("find_min_score", lambda s, d: find(_texts(s, d), entities=["BR_CPF"], min_score=0.9), _SENT + f" SELECT * FROM ({_CPF_ROWS}) WHERE score >= 0.9")
 _add("find_required_context", lambda s, d: find(_columns(_keys(s, d), text=F.concat(F.when(F.pmod(F.col("k"), 2) == 0, "CEP ").otherwise("codigo "), "22290-", synth.base(F.col("k"), 3))), entities=["BR_CEP"]).select("k", "value", "score"), f"SELECT k, '22290-' || {d_base(3)} AS value, 0.5 AS score FROM ({_K}) WHERE k % 2 = 0")
 _add("find_adjacent_matricula", lambda s, d: find(_columns(_keys(s, d), text=F.concat(F.when(F.pmod(F.col("k"), 3) == 0, "matrícula nº ").when(F.pmod(F.col("k"), 3) == 1, "matricula do aluno ").otherwise("imovel "), F.col("k").cast("string"), F.when(F.pmod(F.col("k"), 3) == 2, " no registro de imoveis").otherwise(" fim"))), entities=["BR_MATRICULA_IMOVEL"]).select("k", "value", "score"), f"SELECT k, k::VARCHAR AS value, 0.4 AS score FROM ({_K}) WHERE k % 3 != 1 AND k > 0")
-_add("find_embedded", lambda s, d: find(_columns(_keys(s, d), text=F.concat(F.when(F.pmod(F.col("k"), 2) == 0, "cpf ").otherwise("registro "), "00000000000000", synth.cpf(F.col("k")))), entities=["BR_CPF"]).select("k").distinct(), _CPF + " SELECT k FROM val WHERE k % 2 = 0")
+_WINDOWS = _CPF + f""", x AS (SELECT k, 'cpf 00000000000000' || v AS text FROM val WHERE k % 2 = 0), w AS (SELECT k, a, substr(text, a + 1, 11) AS b FROM x, (SELECT unnest(range(4, 19)) AS a)), w1 AS (SELECT *, {d_low('(' + d_sum('b', range(10, 1, -1)) + ' % 11)')} AS d1 FROM w),
+good AS (SELECT k, a, b FROM w1 WHERE b != repeat(substr(b, 1, 1), 11) AND substr(b, 10, 2) = d1::VARCHAR || {_CPF2}::VARCHAR), one AS (SELECT k, min(a) AS a FROM good GROUP BY k), two AS (SELECT k, min(good.a) AS a FROM good JOIN one USING (k) WHERE good.a >= one.a + 11 GROUP BY k), best AS (SELECT * FROM one UNION ALL SELECT * FROM two)"""
+_add("find_embedded", lambda s, d: find(_columns(_keys(s, d), text=F.concat(F.when(F.pmod(F.col("k"), 2) == 0, "cpf ").otherwise("registro "), "00000000000000", synth.cpf(F.col("k")))), entities=["BR_CPF"]).select("k", "start", "end", "value", "score", "pattern"), _WINDOWS + """ SELECT k, a::INT AS start, (a + 11)::INT AS "end", b AS value, 0.95 AS score, 'cpf_compact_embedded' AS pattern FROM best JOIN good USING (k, a)""")
 _add("find_evaded", lambda s, d: find(_columns(_keys(s, d), text=F.concat("cpf ", _then(synth.cpf(F.col("k")), lambda v: F.concat(F.substring(v, 1, 3), "​", F.substring(v, 4, 8))))), entities=["BR_CPF"]).select("k", "start", "end", "score"), _CPF + ' SELECT k, 4::INT AS start, 16::INT AS "end", 0.95 AS score FROM val')
 _add("find_card_documents", lambda s, d: find(table(s, d, "documents").select("doc_id", "text"), entities=["BR_CARTAO"]).groupBy("doc_id").agg(SF.count("*").alias("n")), None)
 _add("find_documents", lambda s, d: find(table(s, d, "documents").select("doc_id", "text")))
@@ -175,7 +184,8 @@ def _d_hmac(message: str, key: str = DEMO_KEY) -> str:
 
 _KID = mask.key_id(DEMO_KEY.encode())
 _add("mask_stable", lambda s, d: mask.mask(_texts(s, d), "pseudonym_stable", DEMO_KEY, entities=["BR_CPF"], report_invalid=False).select("k", "masked"), _SENT.replace("t AS (SELECT k, shown,", "t AS (SELECT k, v, shown,") + f" SELECT k, CASE WHEN k % 5 = 0 THEN text ELSE replace(text, shown, '<BR_CPF:{_KID}:' || substr({_d_hmac(chr(39) + 'BR_CPF:' + chr(39) + ' || v')}, 1, 12) || '>') END AS masked FROM t")
-_add("residual_after_mask", lambda s, d: mask.residual(mask.mask(_texts(s, d), entities=["BR_CPF"]).select("k", SF.col("masked").alias("text")), entities=["BR_CPF"], report_invalid=True).select("k", "value"), _SENT + " SELECT k, shown AS value FROM t WHERE false")
+_add("residual_after_mask", lambda s, d: mask.residual(mask.mask(_texts(s, d), entities=["BR_CPF"]).select("k", SF.col("masked").alias("text")), entities=["BR_CPF", "BR_CARTAO"], report_invalid=True).select("k", "value", "start"),
+     _SENT + f" SELECT k, card AS value, (strpos({_CUT.format('')}, card) - 1)::INT AS start FROM t WHERE k % 4 = 0 UNION ALL SELECT k, shown, (strpos(text, shown) - 1)::INT FROM t WHERE false")
 _add("vault_protect", lambda s, d: mask.protect(_texts(s, d), DEMO_KEY, "k", entities=["BR_CPF"])[1].select("scope_id", "token", "value"), _SENT.replace("t AS (SELECT k, shown,", "t AS (SELECT k, v, shown,") + f" SELECT k::VARCHAR AS scope_id, '<BR_CPF:{_KID}:' || substr({_d_hmac(chr(39) + 'BR_CPF:' + chr(39) + ' || v')}, 1, 24) || '>' AS token, shown AS value FROM t WHERE k % 5 != 0")
 
 
@@ -190,7 +200,19 @@ _add("vault_reveal", _round_trip, _SENT + " SELECT k, text AS revealed FROM t")
 _add("decide_block", lambda s, d: gate.decide(_texts(s, d), entities=["BR_CPF"]).select("k", "allowed", "reason"), _SENT + " SELECT k, k % 15 = 0 AS allowed, CASE WHEN k % 15 = 0 THEN '' ELSE 'BR_CPF' END AS reason FROM t")
 _add("decide_allow_suspect", lambda s, d: gate.decide(_texts(s, d), entities=["BR_CPF"], on_suspect="allow").select("k", "allowed"), _SENT + " SELECT k, k % 5 = 0 AS allowed FROM t")
 _add("scan_report", lambda s, d: gate.scan(_texts(s, d), threshold=0.9, entities=["BR_CPF"]).report, _SENT + f" SELECT * EXCLUDE (value) FROM ({_CPF_ROWS}) WHERE valid_dv AND score >= 0.9")
-_add("scan_exit_code", lambda s, d: s.createDataFrame([(gate.scan(_texts(s, d), threshold=1.0, entities=["BR_CPF"]).exit_code,)], "exit_code int"), "SELECT 1::INT AS exit_code")
+
+
+def _exit_codes(spark, sf_dir):
+    rows = []
+    for case, which in (("all", "true"), ("suspects", "k % 15 = 5"), ("none", "k % 15 = 0"), ("empty", "false")):
+        for fail in (False, True):
+            found = gate.scan(_texts(spark, sf_dir).where(which), threshold=1.0, entities=["BR_CPF"], fail_on_suspect=fail)
+            rows.append((case, fail, found.exit_code, found.n_valid, found.n_suspects))
+    return spark.createDataFrame(rows, "which string, fail_on_suspect boolean, exit_code int, n_valid long, n_suspects long")
+
+
+_WHICH = "SELECT * FROM (VALUES ('all', 0), ('suspects', 1), ('none', 2), ('empty', 3)) w(which, c), (VALUES (true), (false)) f(fail_on_suspect)"
+_add("scan_exit_code", _exit_codes, _SENT + f", w AS ({_WHICH}), n AS (SELECT which, fail_on_suspect, count(*) FILTER (k % 5 != 0) AS n_valid, count(*) FILTER (k % 5 = 0 AND k % 3 != 0) AS n_suspects FROM w LEFT JOIN t ON c = 0 OR (c = 1 AND k % 15 = 5) OR (c = 2 AND k % 15 = 0) GROUP BY ALL) SELECT which, fail_on_suspect, (n_valid > 0 OR (fail_on_suspect AND n_suspects > 0))::INT AS exit_code, n_valid, n_suspects FROM n")
 _add("report_lines", lambda s, d: gate.report_lines(find(_texts(s, d), entities=["BR_CPF"])), _SENT + f" SELECT format('{{:<20}} {{:7d}} {{:7d}} {{:5.2f}}  {{}}', entity, start, \"end\", score, repeat('*', length(value))) AS line FROM ({_CPF_ROWS}) WHERE valid_dv")
 _add("exposure_rollup", lambda s, d: gate.exposure(find(_texts(s, d).withColumn("part", SF.col("k") % 3), entities=["BR_CPF", "BR_CARTAO"]), ["part"], "k"), _SENT + f" SELECT k % 3 AS part, entity, count(*) AS n_matches, count(DISTINCT k) AS n_docs FROM (SELECT * FROM ({_CPF_ROWS}) WHERE valid_dv UNION ALL {_CARD_ROWS}) GROUP BY ROLLUP (k % 3, entity)")
 _add("top_exposed", lambda s, d: find(_texts(s, d), entities=["BR_CPF", "BR_CARTAO"]).groupBy((SF.col("k") % 11).alias("part")).agg(SF.count("*").alias("n")).orderBy(SF.desc("n"), "part").limit(5), _SENT + f" SELECT k % 11 AS part, count(*) AS n FROM (SELECT * FROM ({_CPF_ROWS}) WHERE valid_dv UNION ALL {_CARD_ROWS}) GROUP BY 1 ORDER BY n DESC, part LIMIT 5")
@@ -227,7 +249,30 @@ _add("char_kappa", lambda s, d: evaluate.char_kappa(_spans(s, d, F.lit(0)), _spa
 _add("html_to_text", lambda s, d: readers.html_to_text(table(s, d, "pages"), keep=["page_id"]))
 _add("paragraphs", lambda s, d: readers.paragraphs(table(s, d, "documents").select("doc_id", "text").withColumn("text", SF.regexp_replace("text", "\n", "\n\n")), min_len=200, max_len=1200).select("doc_id", SF.md5("text").alias("digest")), r"SELECT doc_id, md5(p) AS digest FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS p FROM documents) WHERE length(p) BETWEEN 200 AND 1200")
 _add("matches_per_document", lambda s, d: with_matches(_texts(s, d), entities=["BR_CPF", "BR_CARTAO"]).select("k", SF.size("__matches").cast("bigint").alias("n")), _SENT + " SELECT k, ((k % 5 != 0)::INT + (k % 4 = 0)::INT)::BIGINT AS n FROM t")
+# every entity at once: what the numbers of these sentences are for all 17 rules together isn't SQL; the rows of the two kinds that the text names are
 _add("find_all", lambda s, d: find(_texts(s, d)))
+_add("find_all_named", lambda s, d: find(_texts(s, d)).where("has_context AND entity IN ('BR_CPF', 'BR_CARTAO')").where(SF.col("entity") == SF.when(SF.col("value").rlike("^4[0-9]{15}$"), "BR_CARTAO").otherwise("BR_CPF")), _SENT + f" SELECT * FROM ({_CPF_ROWS}) WHERE valid_dv AND has_context UNION ALL {_CARD_ROWS}")
+
+
+# --- reports, sets, retrieval ---------------------------------------------------------------------------------------
+_add("entity_list", lambda s, d: _keys(s, d).select("k", reports.entity_list(SF.concat(SF.lit(" br_cpf,, br_"), SF.col("k").cast("string"), SF.lit(" , "))).alias("entities")).select("k", SF.array_join("entities", "|").alias("entities")), f"SELECT k, 'BR_CPF|BR_' || k AS entities FROM ({_K})")
+_add("only_on_one_side", lambda s, d: reports.only_on_one_side(_keys(s, d).where("k % 2 = 0"), _keys(s, d).where("k % 3 = 0")), f"SELECT k, CASE WHEN k % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM ({_K}) WHERE (k % 2 = 0) != (k % 3 = 0)")
+_add("shared_ids", lambda s, d: reports.shared_ids(_keys(s, d).where("k % 2 = 0"), _keys(s, d).where("k % 3 = 0"), "k"), f"SELECT k FROM ({_K}) WHERE k % 6 = 0")
+_QUESTION = "the license of the document and its terms for the people of the city"
+_add("retrieve", lambda s, d: reports.retrieve(table(s, d, "documents"), _QUESTION, 10), f"WITH q AS (SELECT list_distinct(list_filter(regexp_split_to_array('{_QUESTION}', '[^a-z0-9]+'), lambda w: length(w) >= 3)) AS q), s AS (SELECT doc_id, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: length(w) >= 3)), q))::BIGINT AS shared FROM documents, q) SELECT doc_id, shared FROM s WHERE shared > 0 ORDER BY shared DESC, doc_id LIMIT 10")
+
+
+def _scores(spark, sf_dir):
+    return _keys(spark, sf_dir).select("k", SF.concat(SF.lit("s"), SF.col("k") % 7).alias("system"), SF.concat(SF.lit("m"), SF.col("k") % 3).alias("mode"), ((SF.col("k") * 7919) % 1009).alias("f1"))
+
+
+_SC = f"SELECT k, 's' || k % 7 AS system, 'm' || k % 3 AS mode, (k * 7919) % 1009 AS f1 FROM ({_K})"
+_add("best_per_mode", lambda s, d: reports.best_per_mode(_scores(s, d)), f"SELECT *, f1 = max(f1) OVER (PARTITION BY mode) AS is_best FROM ({_SC})")
+_add("fixed_order", lambda s, d: reports.ordered_by(_scores(s, d).select("system").distinct(), "system", ["s3", "s1", "s0"]), f"SELECT DISTINCT system, CASE system WHEN 's3' THEN 1 WHEN 's1' THEN 2 WHEN 's0' THEN 3 ELSE 4 END::BIGINT AS place FROM ({_SC})")
+_add("latency_median", lambda s, d: reports.latency(_scores(s, d), "system", "f1"), f"SELECT system, median(f1)::DOUBLE AS median_ms, count(*) AS n FROM ({_SC}) GROUP BY 1")
+_add("insert_or_ignore", lambda s, d: reports.insert_or_ignore(_scores(s, d).where("k % 2 = 0").select("k", "f1"), _scores(s, d).select((SF.col("k") - SF.col("k") % 3).alias("k"), (SF.col("f1") + 1).alias("f1")), "k"), f"WITH s AS (SELECT k, f1 FROM ({_SC}) WHERE k % 2 = 0) SELECT * FROM s UNION ALL SELECT k - k % 3 AS k, min(f1 + 1) AS f1 FROM ({_SC}) WHERE (k - k % 3) NOT IN (SELECT k FROM s) GROUP BY 1")
+_add("file_counts", lambda s, d: reports.file_counts(_scores(s, d).select(SF.col("mode").alias("file"), SF.col("k").alias("id"), SF.col("system").alias("text"), SF.array_repeat("f1", SF.expr("CAST(k % 4 AS INT)")).alias("spans"))).drop("sha256"), f"SELECT mode AS file, count(*) AS n_docs, sum(k % 4)::BIGINT AS n_spans FROM ({_SC}) GROUP BY 1")
+_add("findings_labels", lambda s, d: _keys(s, d).select("k", readers.label(SF.element_at(SF.array(*map(SF.lit, ("BRCPFNumber", "BRLegalEntityNumber", "PhoneNumber", "Brazil CPF Number", "Brazil Legal Entity Number (CNPJ)", "nothing known"))), SF.expr("CAST(k % 6 + 1 AS INT)"))).alias("entity")), f"SELECT k, CASE WHEN k % 6 IN (0, 3) THEN 'BR_CPF' WHEN k % 6 IN (1, 4) THEN 'BR_CNPJ' WHEN k % 6 = 2 THEN 'BR_TELEFONE' ELSE 'OTHER' END AS entity FROM ({_K})")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from velum.operators.detect import find_column
 
 LABELS = {
     "CPF": "BR_CPF", "CNPJ": "BR_CNPJ", "BRAZIL_CPF_NUMBER": "BR_CPF", "BRAZIL_CNPJ_NUMBER": "BR_CNPJ", "BRAZIL_PHONE_NUMBER": "BR_TELEFONE", "BRAZIL_CEP_CODE": "BR_CEP",
-    "BRAZIL_RG_NUMBER": "OTHER", "CREDIT_CARD": "BR_CARTAO", "CREDIT_CARD_NUMBER": "BR_CARTAO", "PHONE_NUMBER": "BR_TELEFONE",
+    "BRAZIL_RG_NUMBER": "OTHER", "BRCPFNumber": "BR_CPF", "BRLegalEntityNumber": "BR_CNPJ", "PhoneNumber": "BR_TELEFONE", "Brazil CPF Number": "BR_CPF", "Brazil Legal Entity Number (CNPJ)": "BR_CNPJ", "CREDIT_CARD": "BR_CARTAO", "CREDIT_CARD_NUMBER": "BR_CARTAO", "PHONE_NUMBER": "BR_TELEFONE",
 }
 SPAN = "array<struct<start:int,end:int,entity:string>>"
 DOCUMENT = f"id string, domain string, difficulty string, text string, spans {SPAN}"
@@ -64,7 +64,7 @@ def findings_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten_findings(df: DataFrame) -> DataFrame:
-    one = df.select(F.regexp_extract("resourcesAffected.s3Object.key", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("doc_id"), F.explode("classificationDetails.result.sensitiveData").alias("d"))
+    one = df.select(F.regexp_extract("resourcesAffected.s3Object.key", r"([^/]+?)(?:\.txt)?$", 1).alias("doc_id"), F.explode("classificationDetails.result.sensitiveData").alias("d"))
     two = one.select("doc_id", F.explode("d.detections").alias("d")).select("doc_id", "d.type", F.explode("d.occurrences.lineRanges").alias("r"))
     return two.select("doc_id", label(F.col("type")).alias("entity"), (F.col("r.startColumn") - 1).alias("start"), F.col("r.endColumn").alias("end"))
 

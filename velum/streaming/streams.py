@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velum.operators import gate, mask
-from velum.operators.detect import find
+from velum.operators.detect import find, find_udf
+
+#: SQL name of find over one text, after register_sql().
+SQL_NAME = "velum_find"
+
+
+def register_sql(spark, name: str = SQL_NAME, **options) -> None:
+    """find as an SQL function: ``SELECT inline(velum_find(text)) FROM t``, on tables and streams."""
+    spark.udf.register(name, find_udf(**options))
+
 
 find_stream = find  # a row's matches come from that row alone: append mode, no state
 mask_stream = mask.mask
