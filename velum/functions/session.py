@@ -48,8 +48,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         drop_tables(spark, tables)
 
 
-def materialise(df: DataFrame, name: str = "t", tables: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back; ``tables`` gets the path, for ``drop_tables``.
+def materialise(df: DataFrame, name: str = "t", tables: list[str] | None = None, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; ``tables`` gets the path, for ``drop_tables``. codec: None for the session's.
 
     Cuts the lineage with files that all executors share, so a lost executor
     costs a re-read and not a recomputation. What is not dropped is removed by ``cleanup``.
@@ -58,7 +58,7 @@ def materialise(df: DataFrame, name: str = "t", tables: list[str] | None = None)
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if (tables := _scratch.get() if tables is None else tables) is not None:
         tables.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

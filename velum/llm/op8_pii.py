@@ -45,6 +45,9 @@ from velum.functions.session import table
 #: For tests and the registered query; give your own to pseudonymise().
 DEMO_KEY = b"velum demonstration key 7f3b9a1c"
 ROUNDS = 8
+SPANS = "array<struct<kind:string,start:int,length:int>>"
+#: Hits whose places are found in one run.
+RUN = 256
 
 _PASSWORD, _SECRET = "password|passwd", r"token|secret|api[_\-]?key|access[_\-]?key"
 #: A password runs to the next blank, quote, comma, semicolon, angle bracket or backslash.
@@ -72,6 +75,11 @@ CANDIDATE = "|".join(f"(?:{p})" for p in PATTERNS.values())
 KINDS = list(PATTERNS)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once; written out, it is computed anew at each use, in a lambda for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _hmac(key: bytes, message: Column) -> Column:
     key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = (F.unhex(F.lit(bytes(b ^ x for b in key).hex())) for x in (0x36, 0x5C))
@@ -97,20 +105,24 @@ def permute_text(key: bytes, kind: str, text: Column, letters=26) -> Column:
     """A keyed permutation of the strings of one format: each digit, small and capital letter (of the first ``letters``) stays of its kind."""
 
     def moved(half: Column, drawn: Column) -> Column:
-        def char(c, i):
+        def char(c, i, drawn, letters):
             code, b = F.ascii(c), F.conv(F.substr(drawn, 1 + 2 * (i % 32), F.lit(2)), 16, 10).cast("int")
             turn = lambda first, n: F.char((first + (code - first + b) % n).cast("long"))
             return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, letters)).when(c.between("A", "Z"), turn(65, letters)).otherwise(c)
 
-        return F.array_join(F.transform(F.filter(F.split(half, ""), lambda c: c != ""), char), "")
+        chars = lambda v: F.transform(F.filter(F.split(half, ""), lambda c: c != ""), lambda c, i: char(c, i, v["drawn"], v["letters"]))
+        return F.array_join(_let(F.struct(drawn.alias("drawn"), (letters if isinstance(letters, Column) else F.lit(letters)).alias("letters")), chars), "")
 
     def step(a, r):
         drawn = _hmac(key, F.concat_ws("|", F.lit(kind), r.cast("string"), F.length(a["x"]).cast("string"), a["y"]))
         return F.struct(a["y"].alias("x"), moved(a["x"], drawn).alias("y"))
 
-    n = F.floor(F.length(text) / 2).cast("int")
-    made = F.aggregate(_rounds(), F.struct(F.substr(text, F.lit(1), n).alias("x"), F.substr(text, n + 1).alias("y")), step)
-    return F.concat(made["x"], made["y"])
+    def whole(t):
+        n = F.floor(F.length(t) / 2).cast("int")
+        made = F.aggregate(_rounds(), F.struct(F.substr(t, F.lit(1), n).alias("x"), F.substr(t, n + 1).alias("y")), step)
+        return _let(made, lambda p: F.concat(p["x"], p["y"]))
+
+    return _let(text, whole)
 
 
 def _digits(x: Column) -> Column:
@@ -119,24 +131,25 @@ def _digits(x: Column) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """Luhn sum of the digits, the last one undoubled."""
-    n = F.length(digits)
 
-    def value(c, i):
+    def value(c, i, n):
         d = F.ascii(c) - 48
         twice = (n - 1 - i) % 2 == 1
         return F.when(twice & (d >= 5), 2 * d - 9).when(twice, 2 * d).otherwise(d)
 
-    return F.aggregate(F.transform(F.filter(F.split(digits, ""), lambda c: c != ""), value), F.lit(0), lambda a, d: a + d)
+    values = lambda chars: F.transform(chars, lambda c, i: value(c, i, F.size(chars)))
+    return F.aggregate(_let(F.filter(F.split(digits, ""), lambda c: c != ""), values), F.lit(0), lambda a, d: a + d)
 
 
 def _refill(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced, in order."""
 
-    def char(c, i):
-        k = F.length(_digits(F.substr(shape, F.lit(1), i + 1)))
-        return F.when(c.between("0", "9"), F.substr(digits, k, F.lit(1))).otherwise(c)
+    def char(c, i, v):
+        k = F.length(_digits(F.substr(v["shape"], F.lit(1), i + 1)))
+        return F.when(c.between("0", "9"), F.substr(v["digits"], k, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(F.filter(F.split(shape, ""), lambda c: c != ""), char), "")
+    chars = lambda v: F.transform(F.filter(F.split(v["shape"], ""), lambda c: c != ""), lambda c, i: char(c, i, v))
+    return F.array_join(_let(F.struct(shape.alias("shape"), digits.alias("digits")), chars), "")
 
 
 def _pad(x: Column, n) -> Column:
@@ -206,22 +219,24 @@ def _phone(key: bytes, m: Column) -> Column:
 
 def _card(key: bytes, m: Column) -> Column:
     """The first run of whole groups in ``m`` with 13 to 19 digits that pass, the longest of those that begin there; what stands around it stays."""
-    shapes = F.array(*(F.lit(rf"^((?:\d+[ \-]){{{skip}}})(\d(?:[ \-]?\d){{{n - 1}}})(?![0-9])") for skip in range(6) for n in range(19, 12, -1)))
+    def cuts(skip):  # before and own, by literal patterns: those of an array would be compiled anew for each card
+        at = lambda n, group: F.regexp_extract(m, rf"^((?:\d+[ \-]){{{skip}}})(\d(?:[ \-]?\d){{{n - 1}}})(?![0-9])", group)
+        return F.array(*(F.struct(at(n, 1).alias("before"), at(n, 2).alias("own")) for n in range(19, 12, -1)))
 
     def good(x):
-        d = _digits(x)
-        return (F.length(d) > 0) & (_luhn(d) % 10 == 0) & ~d.rlike(r"^(\d)\1*$")
-
-    fits = F.filter(shapes, lambda p: good(F.call_function("regexp_extract", m, p, F.lit(2))))
+        return (F.length(x["own"]) > 0) & _let(_digits(x["own"]), lambda d: (_luhn(d) % 10 == 0) & ~d.rlike(r"^(\d)\1*$"))
 
     def made(p):
-        before, own = F.call_function("regexp_extract", m, p, F.lit(1)), F.call_function("regexp_extract", m, p, F.lit(2))
-        d = _digits(own)
-        body = F.concat(F.substring(d, 1, 6), permute_text(key, "card", F.substr(d, F.lit(7), F.length(d) - 7)))
-        whole = F.transform(F.array(body), lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))[0]
-        return F.concat(before, _refill(own, whole), F.substr(m, F.length(before) + F.length(own) + 1))
+        before, own = p["before"], p["own"]
 
-    return F.get(F.transform(F.slice(fits, 1, 1), made), F.lit(0))
+        def whole(d):
+            body = F.concat(F.substring(d, 1, 6), permute_text(key, "card", F.substr(d, F.lit(7), F.length(d) - 7)))
+            return _let(body, lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
+
+        return F.concat(before, _refill(own, _let(_digits(own), whole)), F.substr(m, F.length(before) + F.length(own) + 1))
+
+    fit = F.coalesce(*(F.get(F.filter(cuts(skip), good), F.lit(0)) for skip in range(6)))
+    return _let(fit, lambda p: F.when(p.isNotNull(), made(p)))
 
 
 def _secret(key: bytes, m: Column) -> Column:
@@ -262,22 +277,25 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", found_col:
     some = F.col("raw").isNotNull() & (F.size("raw") > 0)
     df = df.select(*names, "text", F.inline(F.array(F.struct(F.when(some, F.transform(F.transform("raw", judged), replaced)).alias("hits"), F.when(some, F.split("text", CANDIDATE)).alias("gaps")))))
     df = df.select(*names, "text", "gaps", F.inline(F.array(F.struct(F.transform("hits", settled).alias("hits")))))
-    new = F.transform("hits", lambda x: F.coalesce(x["new"], x["old"]))
-    whole = F.array_join(F.flatten(F.transform("gaps", lambda g, i: F.array(g, F.coalesce(F.get(new, i), F.lit(""))))), "")
-    spans = F.aggregate(
-        F.sequence(F.lit(0), F.size("hits") - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,length:int>>").alias("spans")),
-        lambda a, i: F.struct(
-            (a["at"] + F.length(F.get("gaps", i)) + F.length(F.get(new, i))).alias("at"),
-            F.when(F.get("hits", i)["new"].isNull(), a["spans"]).otherwise(F.array_append(a["spans"], F.struct(F.get("hits", i)["kind"].alias("kind"), (a["at"] + F.length(F.get("gaps", i))).alias("start"), F.length(F.get(new, i)).alias("length")))).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    any_hit = F.col("hits").isNotNull()
-    text = F.when(any_hit, whole).otherwise(F.col("text"))
+    new, some = F.transform("hits", lambda x: F.coalesce(x["new"], x["old"])), F.col("hits").isNotNull()
+    df = df.select(*names, "text", "gaps", "hits", F.inline(F.array(F.struct(F.when(some, new).alias("new")))))
+    whole = F.array_join(F.flatten(F.transform("gaps", lambda g, i: F.array(g, F.coalesce(F.get("new", i), F.lit(""))))), "")
+
+    def placed(a, i):
+        hit, at, length = F.get("hits", i), a["at"] + F.length(F.get("gaps", i)), F.length(F.get("new", i))
+        span = F.struct(hit["kind"].alias("kind"), at.alias("start"), length.alias("length"))
+        return F.struct((at + length).alias("at"), F.when(hit["new"].isNull(), a["spans"]).otherwise(F.array_append(a["spans"], span)).alias("spans"))
+
+    def run(a, first):
+        # an array grows by copies: hits are placed by runs, so that a text of many hits doesn't take the square of their number
+        own = F.aggregate(F.sequence(first, F.least(first + (RUN - 1), F.size("hits") - 1)), F.struct(a["at"].alias("at"), F.array().cast(SPANS).alias("spans")), placed)
+        return _let(own, lambda x: F.struct(x["at"].alias("at"), F.array_append(a["runs"], x["spans"]).alias("runs")))
+
+    spans = F.aggregate(F.sequence(F.lit(0), F.size("hits") - 1, F.lit(RUN)), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("runs")), run, lambda a: F.flatten(a["runs"]))
+    text = F.when(some, whole).otherwise(F.col("text"))
     return df.select(
         *(text.alias(c) if c == text_col else F.col(held[c]).alias(c) for c in cols),
-        F.when(any_hit, spans).otherwise(F.array().cast("array<struct<kind:string,start:int,length:int>>")).alias(found_col),
+        F.when(some, spans).otherwise(F.array().cast(SPANS)).alias(found_col),
     )
 
 
