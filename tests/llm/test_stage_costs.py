@@ -2,9 +2,10 @@
 
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from velum.llm import op6_rules, op8_pii
+from velum.llm import op5_simhash, op6_rules, op8_pii
 
 
 def _seconds(df):
@@ -51,3 +52,45 @@ def test_cards_cost_little_more_than_other_numbers(spark):
     card = [int(c) for c in rows[0].text.split(" ; ")[0] if c != " "]
     assert card[:6] == [4, 1, 1, 1, 1, 1] and sum(2 * d - 9 * (d > 4) if i % 2 == 0 else d for i, d in enumerate(card)) % 10 == 0
     assert cards < 4 * numbers
+
+
+def test_nodes_travel_once_to_each_outer_list(spark, monkeypatch):
+    monkeypatch.setattr(op5_simhash, "LIST_ROWS", 240)
+    r, n = np.random.default_rng(4), 3_000
+    fp = r.integers(0, 1 << 64, (n, 4), dtype=np.uint64)
+    for i in range(0, n, 3):  # near pairs, and a group with more candidates than the limit
+        fp[i + 1] = (fp[i] if i > 60 else fp[0]) ^ (np.uint64(1) << r.integers(0, 64, 4, dtype=np.uint64))
+    sig = r.integers(0, 1 << 64, (n, 2), dtype=np.uint64)
+    node = np.concatenate([sig, fp, np.full((n, 1), 200, np.uint64)], axis=1)
+    nodes = spark.createDataFrame([(bytearray(a.tobytes()), bytearray(b.tobytes()), 200) for a, b in zip(sig, fp)], "sig binary, fp binary, n_shingles long").repartition(3).cache()
+    filters = op5_simhash.Filters(n)
+    lists, rows = filters.lists(fp)
+    by = np.argsort(lists, kind="stable")
+    pairs, more = set(), set()
+    for of in np.split(rows[by], np.flatnonzero(np.diff(lists[by])) + 1):
+        left, right, cut = op5_simhash.candidates(node[of], None, op5_simhash.LIMIT)
+        pairs |= {frozenset((sig[i].tobytes(), sig[j].tobytes())) for i, j in zip(of[left], of[right])}
+        more |= {sig[i].tobytes() for i in of[cut]}
+    sent, frame, whole = [], type(nodes), type(nodes).repartition
+
+    def repartition(df, *a):
+        sent.append(df)
+        return whole(df, *a)
+
+    def sure(pairs, more):  # which of equally near ones stay of a node with too many is left to their order
+        return {p for p in pairs if not p <= more}, more
+
+    def found():
+        monkeypatch.setattr(frame, "repartition", repartition)
+        out = op5_simhash._search(nodes, filters, {}).collect()
+        monkeypatch.setattr(frame, "repartition", whole)
+        return {frozenset((bytes(x.a), bytes(x.b))) for x in out if x.b}, {bytes(x.a) for x in out if x.b is None}
+
+    assert not filters.one and len(pairs) > 900 and len(more) > 10
+    assert sure(*found()) == sure(pairs, more)
+    assert sent[0].count() == len(set(zip((lists // filters.inner).tolist(), rows.tolist()))) < 0.75 * len(lists)
+    filters.groups = 3
+    assert sure(*found()) == sure(pairs, more)
+    filters.outer_rows = 60  # lists longer than a task holds: what is torn goes on to the second pass
+    torn, on = found()
+    assert len(torn & pairs) < len(pairs) and all(p <= on for p in pairs - torn if not p <= more) and more <= on

@@ -46,6 +46,8 @@ WORDS, SIMILARITY, BITS, RECALL = 5, 0.8, 256, 0.99
 LIST_ROWS, SEED, INNER, LIMIT = 800, 5, 0.7, 4
 #: A list is crowded from so many times the foreseen length on; it is compared in parts of that length.
 CROWDED, PART_ROWS = 4, 2048
+#: Rows of a list of the first level, as foreseen, that one task holds; of longer ones, each group of their second lists is dealt apart.
+OUTER_ROWS = 300_000
 #: Hamming distance up to which candidates are verified: at similarity 0.8 the mean is 39 and the deviation 5.7; short sets scatter more.
 NEAR, NEAR_SHORT, SHORT = 57, 78, 30
 #: The same for the first half and the first quarter of the bits, with four deviations: what goes beyond is not looked at further.
@@ -187,6 +189,8 @@ class Filters:
         self.outer = 1 if self.one else math.ceil(outer / (level * both))
         self.inner = 1 if self.one else math.ceil(INNER / (level * both))
         self.seed, self.crowded_rows = SEED, max(PART_ROWS, math.ceil(CROWDED * self.rows))
+        self.outer_rows = OUTER_ROWS
+        self.groups = min(self.inner, max(1, math.ceil(n * level / OUTER_ROWS)))
 
     def _drawn(self, a: int) -> tuple[np.random.Generator, np.ndarray, np.ndarray]:
         rng = np.random.default_rng([self.seed, a])
@@ -279,11 +283,15 @@ def _emit(sig: np.ndarray, left: np.ndarray, right: np.ndarray, more: np.ndarray
 _PART = 20
 
 
+def _node(batch: pa.RecordBatch) -> np.ndarray:
+    """n x 7: identity, SimHash and number of shingles."""
+    return np.concatenate([_from_bytes(batch.column("sig"), 2), _from_bytes(batch.column("fp"), 4), np.asarray(batch.column("n_shingles")).astype(np.uint64)[:, None]], axis=1)
+
+
 def _listed(nodes: DataFrame, filters: Filters, crowded: dict[int, int] | None = None) -> DataFrame:
-    """A row for each node and list: key (list and part), node (sig, fp, n_shingles) and, if ``nodes`` has it, comp.
+    """A row for each node and list: key (the list), node (sig, fp, n_shingles) and, if ``nodes`` has it, comp.
 
-    crowded: the parts of the lists that need more than one. If ``nodes`` has the
-    flag ``again``, the rows of crowded lists, and of the others only those flagged; no parts.
+    If ``nodes`` has the flag ``again``, the rows of crowded lists, and of the others only those flagged.
     """
     second = "again" in nodes.columns
     carried = ["comp"] if second else []
@@ -292,24 +300,52 @@ def _listed(nodes: DataFrame, filters: Filters, crowded: dict[int, int] | None =
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 b = batch.slice(at, 4096)
-                fp, sig = _from_bytes(b.column("fp"), 4), _from_bytes(b.column("sig"), 2)
-                keys, rows = filters.lists(fp)
+                node = _node(b)
+                keys, rows = filters.lists(node[:, 2:6].copy())
                 if second:
                     wanted = np.isin(keys, list(crowded)) | np.asarray(b.column("again"))[rows]
                     keys, rows = keys[wanted], rows[wanted]
-                parts = np.zeros(len(keys), np.int64)
-                if crowded and not second:
-                    many = np.array([crowded.get(k, 1) for k in keys.tolist()], np.uint64)
-                    with np.errstate(over="ignore"):  # other parts in each list
-                        parts = (tk._mixed(sig[rows, 0] + keys.astype(np.uint64)) % many).astype(np.int64)
-                node = np.concatenate([sig, fp, np.asarray(b.column("n_shingles")).astype(np.uint64)[:, None]], axis=1)
                 for c in range(0, len(keys), 50_000):
                     r = rows[c : c + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[c : c + 50_000] << _PART | parts[c : c + 50_000]), _bytes(node[r]), *(b.column(x).take(pa.array(r)) for x in carried)], names=["key", "node", *carried])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[c : c + 50_000]), _bytes(node[r]), *(b.column(x).take(pa.array(r)) for x in carried)], names=["key", "node", *carried])
 
     return nodes.mapInArrow(run, "key long, node binary" + ", comp binary" * second)
 
 
+def _dealt(nodes: DataFrame, filters: Filters, crowded: dict[int, int]) -> DataFrame:
+    """Each node once for each list (or group) of the first level: key, node (sig, fp, n_shingles, a bit for each list of the second level).
+
+    The key is negative. Crowded lists have rows and keys of their own: the list and the part of it.
+    """
+    words = -(-filters.inner // 64)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                node = _node(batch.slice(at, 4096))
+                lists, rows = filters.lists(node[:, 2:6].copy())
+                alone = np.isin(lists, list(crowded))
+                many = np.array([crowded[k] for k in lists[alone].tolist()], np.uint64)
+                with np.errstate(over="ignore"):  # other parts in each list
+                    parts = (tk._mixed(node[rows[alone], 0] + lists[alone].astype(np.uint64)) % many).astype(np.int64)
+                own = lists[alone] << _PART | parts
+                outer, inner = np.divmod(lists[~alone], filters.inner)
+                group, r = outer * filters.groups + inner % filters.groups, rows[~alone]
+                order = np.argsort(group << 12 | r, kind="stable")
+                group, r, inner = group[order], r[order], inner[order]
+                fresh = np.ones(len(r), bool)
+                fresh[1:] = (group[1:] != group[:-1]) | (r[1:] != r[:-1])
+                begins = np.flatnonzero(fresh)
+                bits = np.zeros((len(own) + len(begins), words), np.uint64)
+                for w in range(words if len(begins) else 0):
+                    bits[len(own) :, w] = np.bitwise_or.reduceat(np.where(inner >> 6 == w, np.uint64(1) << (inner & 63).astype(np.uint64), np.uint64(0)), begins)
+                keys, r = np.concatenate([own, ~group[begins]]), np.concatenate([rows[alone], r[begins]])
+                for c in range(0, len(keys), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[c : c + 50_000]), _bytes(np.concatenate([node[r[c : c + 50_000]], bits[c : c + 50_000]], axis=1))], names=["key", "node"])
+
+    return nodes.mapInArrow(run, "key long, node binary")
+
+
 def _crowded(nodes: DataFrame, filters: Filters, n: int) -> dict[int, int]:
     """Lists that a sample of 20,000 nodes, about, shows to be far longer than foreseen, and in how many parts to cut them.
 
@@ -320,41 +356,44 @@ def _crowded(nodes: DataFrame, filters: Filters, n: int) -> dict[int, int]:
     p = min(1.0, 20_000 / max(1, n))
     sample = nodes.where(F.pmod(F.xxhash64("sig", F.lit(3)), F.lit(1 << 30)) < int(p * (1 << 30)) + 1)
     seen = _listed(sample, filters).groupBy("key").count().where(F.col("count") >= max(16, filters.crowded_rows * p))
-    return {r["key"] >> _PART: min(math.ceil(r["count"] / p / filters.crowded_rows) + 1, 1 << _PART) for r in seen.collect()}
+    return {r["key"]: min(math.ceil(r["count"] / p / filters.crowded_rows) + 1, 1 << _PART) for r in seen.collect()}
 
 
 def _search(nodes: DataFrame, filters: Filters, crowded: dict[int, int]) -> DataFrame:
     """The LIMIT nearest candidates (a, b) of each node in each part of a list; (a, null) for nodes that have more."""
-    most, limit = 4 * filters.crowded_rows, LIMIT
+    most, held_rows, limit, width = 4 * filters.crowded_rows, 2 * filters.outer_rows, LIMIT, 7 + -(-filters.inner // 64)
+
+    def compared(key, chunks, torn):
+        node = np.concatenate(chunks)
+        every = range(filters.inner) if key < 0 else [None]
+        for b in every:
+            own = node[:, :7] if b is None else node[(node[:, 7 + (b >> 6)] >> np.uint64(b & 63) & np.uint64(1)).astype(bool), :7]
+            for at in range(0, len(own), most):
+                x = own[at : at + most]
+                left, right, more = candidates(x, None, limit)
+                # longer than the sample told: in pieces, and all its nodes go on
+                yield from _emit(x[:, :2], left, right, np.arange(len(x)) if torn or len(own) > most else more)
 
     def part(batches):
-        def compared(node):
-            return _emit(node[:, :2], *candidates(node, None, limit))
-
-        keys, nodes_, torn = np.zeros(0, np.int64), np.zeros((0, 7), np.uint64), None
+        key, chunks, held, torn = None, [], 0, False
         for batch in batches:
-            keys = np.concatenate([keys, np.asarray(batch.column("key"))])
-            nodes_ = np.concatenate([nodes_, _from_bytes(batch.column("node"), 7)])
-            if len(keys) < 20_000:
-                continue
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            ends = [0, *cuts.tolist()]
-            if not len(cuts) and len(keys) > most:  # longer than the sample told: in pieces, and all its nodes go on
-                torn = int(keys[0])
-                ends.append(len(keys))
-            for a, b in zip(ends, ends[1:]):
-                yield from compared(nodes_[a:b])
-                if keys[a] == torn:
-                    yield from _emit(nodes_[a:b, :2], np.zeros(0, int), np.zeros(0, int), np.arange(b - a))
-            keys, nodes_ = keys[ends[-1] :], nodes_[ends[-1] :]
-        ends = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(ends, ends[1:]):
-            if b > a:
-                yield from compared(nodes_[a:b])
-                if keys[a] == torn:
-                    yield from _emit(nodes_[a:b, :2], np.zeros(0, int), np.zeros(0, int), np.arange(b - a))
-
-    return _listed(nodes, filters, crowded).repartition("key").sortWithinPartitions("key").mapInArrow(part, _PAIRS).distinct()
+            keys, node = np.asarray(batch.column("key")), _from_bytes(batch.column("node"), width)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a and keys[a] != key:
+                    if chunks:
+                        yield from compared(key, chunks, torn)
+                    key, chunks, held, torn = int(keys[a]), [], 0, False
+                chunks.append(node[a:b])
+                held += b - a
+                if held > held_rows:
+                    torn = True
+                    yield from compared(key, chunks, torn)
+                    chunks, held = [], 0
+        if chunks:
+            yield from compared(key, chunks, torn)
+
+    return _dealt(nodes, filters, crowded).repartition("key").sortWithinPartitions("key").mapInArrow(part, _PAIRS).distinct()
 
 
 def _search_all(nodes: DataFrame, filters: Filters, crowded: dict[int, int], tables: list[str]) -> DataFrame:
