@@ -78,3 +78,12 @@ def cleanup(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt out by ``by`` over four tasks for each core.
+
+    For narrow rows with much work on each: Spark sizes tasks by the bytes of a
+    file and never splits a row group, so that a few tasks would do all of it.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as SF
 
 from velum.functions import sqlx as F
 from velum.functions import validators as V
-from velum.functions.session import table
+from velum.functions.session import spread, table
 from velum.functions.sqlx import X, column
 from velum.functions.text import canonical_label, canonical_vault, collapse_blanks, fold, invisible_near_digit, normalise, strip_invisible
 from velum.operators import evaluate, gate, mask, reports
@@ -28,7 +28,7 @@ def _add(name: str, query: Callable, sql: str | None = None) -> None:
 
 
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(SF.col("c_custkey").cast("bigint").alias("k"))
+    return spread(table(spark, sf_dir, "customer").select(SF.col("c_custkey").cast("bigint").alias("k")), "k")
 
 
 def _columns(df: DataFrame, **made: X) -> DataFrame:

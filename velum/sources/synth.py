@@ -37,7 +37,7 @@ def cnj(key: X) -> X:
 
 def sentence(key: X) -> X:
     """A text whose shape turns with the key: label or none, formatted or compact, valid or one digit off."""
-    number = F.when(F.pmod(key, 5) == 0, wrong_last_digit(cpf(key))).otherwise(cpf(key))
-    shown = F.when(F.pmod(key, 3) == 0, number).otherwise(cpf_formatted(number))
+    number = let(cpf(key), lambda v: F.when(F.pmod(key, 5) == 0, wrong_last_digit(v)).otherwise(v))
+    shown = let(number, lambda v: F.when(F.pmod(key, 3) == 0, v).otherwise(cpf_formatted(v)))
     word = F.when(F.pmod(key, 2) == 0, "CPF ").otherwise("codigo ")
     return F.concat("registro de numero ", key.cast("string"), ": ", word, shown, F.when(F.pmod(key, 4) == 0, F.concat(", cartao ", card(key))).otherwise(""), " fim")
