@@ -30,3 +30,13 @@ def test_sentence_computes_its_number_once():
 def test_every_scan_of_texts_stands_over_dealt_keys(spark, customers, query, scans):
     plan = catalog.QUERIES[query](spark, customers)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == plan.count("FileScan parquet") == scans
+
+
+def test_exit_codes_count_each_case_once(spark, customers, monkeypatch):
+    from velum.operators import gate
+
+    calls, whole = [], gate.find
+    monkeypatch.setattr(gate, "find", lambda *args, **options: calls.append(1) or whole(*args, **options))
+    rows = {(r.which, r.fail_on_suspect): r.exit_code for r in catalog.QUERIES["scan_exit_code"](spark, customers).collect()}
+    assert len(calls) == 4
+    assert rows == {("all", False): 1, ("all", True): 1, ("suspects", False): 0, ("suspects", True): 1, ("none", False): 0, ("none", True): 0, ("empty", False): 0, ("empty", True): 0}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,10 +44,30 @@ def require_clean(df: DataFrame, text_col: str = "text", **options) -> DataFrame
 
 @dataclass
 class Scan:
+    """The texts are read for the report when it is read, and once more for the counts when the first of them is asked for."""
+
     report: DataFrame
-    exit_code: int
-    n_valid: int
-    n_suspects: int
+    found: DataFrame
+    suspects_fail: bool
+
+    @cached_property
+    def counts(self) -> tuple[int, int]:
+        return tuple(self.found.agg(F.count_if("valid_dv"), F.count_if(~F.col("valid_dv"))).first())
+
+    @property
+    def n_valid(self) -> int:
+        return self.counts[0]
+
+    @property
+    def n_suspects(self) -> int:
+        return self.counts[1]
+
+    @property
+    def exit_code(self) -> int:
+        return self.code(self.suspects_fail)
+
+    def code(self, suspects_fail: bool) -> int:
+        return int(bool(self.n_valid or (self.n_suspects and suspects_fail)))
 
 
 def scan(df: DataFrame, text_col: str = "text", threshold: float = 0.0, suspects: bool = False, fail_on_suspect: bool = False, show_values: bool = False, max_chars: int | None = 50_000_000, **options) -> Scan:
@@ -54,13 +75,12 @@ def scan(df: DataFrame, text_col: str = "text", threshold: float = 0.0, suspects
     (or a suspect, when they are asked to count), else 0."""
     check_score(threshold)
     found = find(df, text_col, report_invalid=True, max_chars=max_chars, **options)
-    n_valid, n_suspects = found.agg(F.count_if("valid_dv"), F.count_if(~F.col("valid_dv"))).first()
     report = found.where((F.col("score") >= threshold) | ~F.col("valid_dv"))
     if not suspects:
         report = report.where("valid_dv")
     if not show_values:
         report = report.drop("value")
-    return Scan(report, int(bool(n_valid or (n_suspects and (suspects or fail_on_suspect)))), n_valid, n_suspects)
+    return Scan(report, found, suspects or fail_on_suspect)
 
 
 def report_lines(found: DataFrame, show_values: bool = False) -> DataFrame:

@@ -205,9 +205,8 @@ _add("scan_report", lambda s, d: gate.scan(_texts(s, d), threshold=0.9, entities
 def _exit_codes(spark, sf_dir):
     rows = []
     for case, which in (("all", "true"), ("suspects", "k % 15 = 5"), ("none", "k % 15 = 0"), ("empty", "false")):
-        for fail in (False, True):
-            found = gate.scan(_texts(spark, sf_dir).where(which), threshold=1.0, entities=["BR_CPF"], fail_on_suspect=fail)
-            rows.append((case, fail, found.exit_code, found.n_valid, found.n_suspects))
+        found = gate.scan(_texts(spark, sf_dir).where(which), threshold=1.0, entities=["BR_CPF"])
+        rows += [(case, fail, found.code(fail), found.n_valid, found.n_suspects) for fail in (False, True)]
     return spark.createDataFrame(rows, "which string, fail_on_suspect boolean, exit_code int, n_valid long, n_suspects long")
 
 
