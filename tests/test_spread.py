@@ -40,3 +40,11 @@ def test_exit_codes_count_each_case_once(spark, customers, monkeypatch):
     rows = {(r.which, r.fail_on_suspect): r.exit_code for r in catalog.QUERIES["scan_exit_code"](spark, customers).collect()}
     assert len(calls) == 4
     assert rows == {("all", False): 1, ("all", True): 1, ("suspects", False): 0, ("suspects", True): 1, ("none", False): 0, ("none", True): 0, ("empty", False): 0, ("empty", True): 0}
+
+
+def test_ascii_folds_without_the_table():
+    from velum.operators import detect
+
+    every = [chr(i) for i in range(128)] + ["É", "ＡÇ b", "ı", "K", "ß"]
+    for text in [*every, "".join(every), "".join(map(chr, range(128)))]:
+        assert detect._folded(text) == text.translate(detect._FOLD)

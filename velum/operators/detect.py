@@ -78,6 +78,11 @@ def spans(text: X, pattern: str) -> X:
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
+def _folded(text: str) -> str:
+    """fold() of a text; of ASCII only capitals change."""
+    return text.lower() if text.isascii() else text.translate(_FOLD)
+
+
 def _alternation(words: Iterable[str]) -> str:
     return "(?:" + "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) + ")"
 
@@ -97,8 +102,9 @@ class _Context:
 
     def near(self, norm: str, start: int, end: int, first: int, last: int) -> bool:
         """norm[first:last] is the text that the span is in."""
-        left = norm[max(first, start - self.reach) : start].translate(_FOLD)
-        right = norm[end : min(last, end + (AFTER_REACH if self.adjacent else self.reach))].translate(_FOLD)
+        left = norm[max(first, start - self.reach) : start]
+        right = norm[end : min(last, end + (AFTER_REACH if self.adjacent else self.reach))]
+        left, right = _folded(left), _folded(right)
         if self.adjacent:
             return bool(self.before.search(left) or self.after.match(right))
         return bool(self.words.search(f"{left} {right}"))
@@ -139,6 +145,11 @@ def _clash(a: _Found, b: _Found) -> bool:
     return a.start < b.end and b.start < a.end
 
 
+def _joined(norms: list[str]) -> tuple[str, list[int]]:
+    """The texts, a NUL after each, as one; where each begins, and the end."""
+    return "\0".join(norms) + "\0", [0, *np.cumsum([len(t) + 1 for t in norms]).tolist()]
+
+
 class _Scanner:
     """The passes over a batch of texts, for the entities asked for; ``every``: all that can shield a span."""
 
@@ -163,8 +174,7 @@ class _Scanner:
 
     def candidates(self, norms: list[str], specs: Iterable[Entity], report_invalid: bool) -> list[list[_Found]]:
         """For each text what its entities' patterns, check digits and contexts leave, in order of entity, pattern, place."""
-        joined = "\0".join(norms) + "\0"
-        begins = [0, *(np.cumsum([len(t) + 1 for t in norms]).tolist() if norms else [])]
+        joined, begins = _joined(norms)
         out: list[list[_Found]] = [[] for _ in norms]
         for spec in specs:
             owned = self.owned(spec, joined, begins)
@@ -217,7 +227,7 @@ class _Scanner:
                 good = checks.valid_windows(spec.id, codes, at[run] + step, n)
                 for i, a in zip(text_of[run[good]].tolist(), (first[run] + step)[good].tolist()):
                     if (i, spec.id) not in said:  # most texts don't hold any of its words
-                        folded[i] = folded.get(i) or norms[i].translate(_FOLD)
+                        folded[i] = folded.get(i) or _folded(norms[i])
                         said[i, spec.id] = bool(context.anywhere.search(folded[i]))
                     if not said[i, spec.id] or (a, a + n) in taken[i] or not context.near(norms[i], a, a + n, 0, len(norms[i])):
                         continue
@@ -258,7 +268,7 @@ class _Scanner:
         bare = [s for s in self.specs if not s.needs_digit]
         rest = set(range(len(texts))) - set(digits) if bare else ()
         if all(s.built_in for s in bare):
-            rest = [i for i in rest if _WORDS_ONLY.search(_INVISIBLE.sub("", norms[i]).translate(_FOLD))]
+            rest = [i for i in rest if _WORDS_ONLY.search(_folded(_INVISIBLE.sub("", norms[i])))]
         out: list[list[_Found]] = [[] for _ in texts]
         for which, specs in ((digits, self.specs), (sorted(rest), bare)):
             if not which:
