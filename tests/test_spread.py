@@ -48,3 +48,20 @@ def test_ascii_folds_without_the_table():
     every = [chr(i) for i in range(128)] + ["É", "ＡÇ b", "ı", "K", "ß"]
     for text in [*every, "".join(every), "".join(map(chr, range(128)))]:
         assert detect._folded(text) == text.translate(detect._FOLD)
+
+
+def _counting(name, *options):
+    from velum.operators import detect
+    from velum.operators.registry import entities
+
+    calls = []
+    whole = getattr(detect._Scanner, name)
+    kind = type("Counting", (detect._Scanner,), {name: lambda self, *args: calls.append(1) or whole(self, *args)})
+    return kind(entities(["BR_CPF"]), entities(), 0.0, True, False), calls
+
+
+def test_a_batch_looks_for_shields_once():
+    scanner, calls = _counting("shields")
+    found = scanner.matches(["cpf 0052998224725", "cartao 4111111111111111", "cpf 5299822472500"] * 50)
+    assert [[m.value for m in ms] for ms in found] == [["52998224725"], [], ["52998224725"]] * 50
+    assert len(calls) == 1

@@ -213,7 +213,7 @@ class _Scanner:
         length = last - first
         at = np.cumsum(length) - length
         taken = {i: {(m.start, m.end) for m in found[i]} for i in set(text_of.tolist())}
-        shields: dict[int, list[tuple[int, int]]] = {}
+        dug: list[tuple[int, _Found]] = []
         said: dict[tuple[int, str], bool] = {}
         folded: dict[int, str] = {}
         for spec in own:
@@ -231,23 +231,26 @@ class _Scanner:
                         said[i, spec.id] = bool(context.anywhere.search(folded[i]))
                     if not said[i, spec.id] or (a, a + n) in taken[i] or not context.near(norms[i], a, a + n, 0, len(norms[i])):
                         continue
-                    if i not in shields:
-                        shields[i] = self.shields(norms[i])
-                    if any(x <= a and a + n <= y and y - x > n for x, y in shields[i]):
-                        continue
                     taken[i].add((a, a + n))
-                    out[i].append(_Found(spec, a, a + n, f"{name}_embedded", True, True))
+                    dug.append((i, _Found(spec, a, a + n, f"{name}_embedded", True, True)))
+        whole = sorted({i for i, _ in dug})
+        shields = dict(zip(whole, self.shields([norms[i] for i in whole])))
+        for i, m in dug:
+            if not any(x <= m.start and m.end <= y and y - x > m.end - m.start for x, y in shields[i]):
+                out[i].append(m)
         return out
 
-    def shields(self, norm: str) -> list[tuple[int, int]]:
-        """Spans of complete values of any kind, which nothing is dug out of."""
-        out = []
-        for spec in self.every:
-            spans = {m.span() for _, pattern, _ in self.patterns[spec.id] for m in pattern.finditer(norm)}
-            spans = list(spans)
-            for (a, b), ok in zip(spans, spec.check([norm[a:b] for a, b in spans]).tolist() if spans else ()):
-                if ok and (not spec.required or self.context[spec.id].near(norm, a, b, 0, len(norm))):
-                    out.append((a, b))
+    def shields(self, norms: list[str]) -> list[list[tuple[int, int]]]:
+        """For each text the spans of complete values of any kind, which nothing is dug out of."""
+        joined, begins = _joined(norms)
+        out: list[list[tuple[int, int]]] = [[] for _ in norms]
+        for spec in self.every if norms else ():
+            spans = list(self.owned(spec, joined, begins))
+            for (a, b), ok in zip(spans, spec.check([joined[a:b] for a, b in spans]).tolist() if spans else ()):
+                if ok:
+                    i = bisect_right(begins, a) - 1
+                    if not spec.required or self.context[spec.id].near(joined, a, b, begins[i], begins[i + 1] - 1):
+                        out[i].append((a - begins[i], b - begins[i]))
         return out
 
     def best(self, found: list[_Found], n_chars: int) -> list[_Found]:
