@@ -65,3 +65,10 @@ def test_a_batch_looks_for_shields_once():
     found = scanner.matches(["cpf 0052998224725", "cartao 4111111111111111", "cpf 5299822472500"] * 50)
     assert [[m.value for m in ms] for ms in found] == [["52998224725"], [], ["52998224725"]] * 50
     assert len(calls) == 1
+
+
+def test_a_batch_is_searched_for_evasion_once():
+    scanner, calls = _counting("candidates")
+    found = scanner.matches(["cpf 529\u200b98224725", "cpf 5\u00ad29.982.247-2\u200b5 fim", "é 7\u200b8"] * 50)
+    assert [[(m.start, m.end) for m in ms] for ms in found] == [[(4, 16)], [(4, 20)], []] * 50
+    assert len(calls) == 2

@@ -192,14 +192,15 @@ class _Scanner:
                     out[i].append(_Found(spec, start - begins[i], end - begins[i], names[k], near, ok))
         return out
 
-    def evaded(self, text: str) -> list[_Found]:
-        """Matches that appear once invisible characters are taken out, placed in the original text."""
-        at = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
-        plain = "".join(text[i] for i in at).translate(_SWAP)
-        found = self.candidates([plain], self.specs, self.report_invalid)[0]
-        for m in found:
-            m.start, m.end = at[m.start], at[m.end - 1] + 1
-        return [m for m in found if m.spec.tier == "N1" or m.context]
+    def evaded(self, texts: list[str]) -> list[list[_Found]]:
+        """For each text the matches that appear once invisible characters are taken out, placed in the original text."""
+        out = self.candidates([_INVISIBLE.sub("", t).translate(_SWAP) for t in texts], self.specs, self.report_invalid) if texts else []
+        for text, found in zip(texts, out):
+            hidden = {m.start() for m in _INVISIBLE.finditer(text)} if found else ()
+            at = [i for i in range(len(text)) if i not in hidden] if found else ()
+            for m in found:
+                m.start, m.end = at[m.start], at[m.end - 1] + 1
+        return [[m for m in found if m.spec.tier == "N1" or m.context] for found in out]
 
     def embedded(self, norms: list[str], found: list[list[_Found]]) -> list[list[_Found]]:
         """Identifiers with a valid check digit and context inside a longer run of digits, in a token without letters."""
@@ -278,9 +279,9 @@ class _Scanner:
                 continue
             own = [norms[i] for i in which]
             plain = self.candidates(own, specs, self.report_invalid)
-            for i, found in zip(which, plain):
-                if not texts[i].isascii() and _NEAR.search(texts[i]):
-                    found += self.evaded(texts[i])
+            hiding = [n for n, i in enumerate(which) if not texts[i].isascii() and _NEAR.search(texts[i])]
+            for n, more in zip(hiding, self.evaded([texts[which[n]] for n in hiding])):
+                plain[n] += more
             for i, found, more in zip(which, plain, self.embedded(own, plain)):
                 text, found = texts[i], found + more
                 by_place = lambda ms: sorted(ms, key=lambda m: (m.start, m.end))
