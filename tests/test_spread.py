@@ -72,3 +72,15 @@ def test_a_batch_is_searched_for_evasion_once():
     found = scanner.matches(["cpf 529\u200b98224725", "cpf 5\u00ad29.982.247-2\u200b5 fim", "é 7\u200b8"] * 50)
     assert [[(m.start, m.end) for m in ms] for ms in found] == [[(4, 16)], [(4, 20)], []] * 50
     assert len(calls) == 2
+
+
+def test_scan_reads_nothing_before_it_is_asked(spark):
+    from pyspark.sql import functions as F
+
+    from velum.operators import gate
+
+    df = spark.range(1).select("id", F.raise_error(F.concat(F.lit("read "), F.col("id").cast("string"))).cast("string").alias("text"))
+    found = gate.scan(df, entities=["BR_CPF"])
+    assert "score" in found.report.columns
+    with pytest.raises(Exception, match="read 0"):
+        found.exit_code
