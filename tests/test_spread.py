@@ -26,7 +26,7 @@ def test_sentence_computes_its_number_once():
     assert synth.sentence(F.col("k")).sql.count("7919") == 2  # the number's base and the card's
 
 
-@pytest.mark.parametrize("query, scans", [("vault_reveal", 3), ("top_exposed", 1), ("exposure_rollup", 1), ("residual_after_mask", 1)])
+@pytest.mark.parametrize("query, scans", [("vault_reveal", 3), ("top_exposed", 1), ("exposure_rollup", 1), ("residual_after_mask", 1), ("find_cpf_and_card", 1)])
 def test_every_scan_of_texts_stands_over_dealt_keys(spark, customers, query, scans):
     plan = catalog.QUERIES[query](spark, customers)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == plan.count("FileScan parquet") == scans
